@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query, module, and whether the module states the query in SQL.
 OPERATORS = (
+    ("op1_embeddings", "embeddings", True),
     ("op2_langid", "langid", False),
     ("op3_mixing", "mixing", True),
     ("op4_simhash", "simhash", False),
+    ("op5_urls", "urls", False),
+    ("op6_token_counts", "token_counts", False),
+    ("op7_quality", "quality", False),
     ("op8_line_dedup", "line_dedup", True),
+    ("op9_spotsigs", "spotsigs", False),
     ("op10_pieces", "pieces", False),
 )
 
