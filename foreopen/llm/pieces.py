@@ -25,6 +25,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: No piece has a space mark after another character, so the text may be cut before every run of marks.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
+#: Where a unit begins after another character.
+BORDER = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 CACHE = 250_000
 NONE = -(1 << 30)
 
@@ -218,12 +220,43 @@ class Pieces:
         reach = self.forward(text, end - base, min(stop - base, len(text)), {end - base: piece})
         return {base + i: p for i, p in reach.items()}
 
+    def ends(self, text: str, base: int, stop: int) -> tuple[int, int] | None:
+        """The first and last place after base and before stop where a unit begins; None without any.
+
+        No piece lies across such a place and any two pieces agree there, so every path of a chunk goes through both,
+        and between them there always is one.
+        """
+        if not self.safe:
+            return None
+        found = [m.start() for m in BORDER.finditer(text, 0, min(len(text), 4 * self.longest))]
+        first = next((i for i in found if i + base < stop), None) or next((m.start() for m in BORDER.finditer(text, 0, stop - base)), None)
+        if not first:
+            return None
+        last = first
+        span = 4 * self.longest
+        while True:  # from the chunk's end back
+            near = [m.start() for m in BORDER.finditer(text, max(first, stop - base - span), stop - base)]
+            if near or stop - base - span <= first:
+                last = near[-1] if near else first
+                break
+            span *= 4
+        return base + first, base + last
+
     def transfer(self, text: str, base: int, stop: int, entries: list, exits: list) -> np.ndarray:
         """Max-plus matrix of a chunk: 0 where a path leads from an entry state to an exit state, NONE elsewhere.
 
-        text begins at base and runs on past stop by the longest piece. Paths of two entries that agree on a piece's
-        length of places agree from there on, and are followed once.
+        text begins at base and runs on past stop by the longest piece. Where units begin within the chunk, the matrix
+        is the product of one from the entries to the first such place and one from the last of them to the exits.
         """
+        ends = self.ends(text, base, stop)
+        if ends is None:
+            return self._whole(text, base, stop, entries, exits)
+        first, last = ends
+        enter = [[0 if first in self.paths(text, base, first, e) else NONE] for e in entries]
+        leave = self._whole(text[last - base :], last, stop, [(last, None)], exits)
+        return product(np.array(enter, np.int64).reshape(len(entries), 1), leave)
+
+    def _whole(self, text: str, base: int, stop: int, entries: list, exits: list) -> np.ndarray:
         out = np.full((len(entries), len(exits)), NONE, np.int64)
         for r, state in enumerate(entries):
             if state[0] > stop:  # a piece longer than the chunk
@@ -246,21 +279,29 @@ class Pieces:
         before = last[begin]
         return before is None or before not in self.vocab or piece not in self.vocab or self.agree(before, piece)
 
-    def trace(self, text: str, base: int, stop: int, entry: tuple, exit_: tuple) -> list[str]:
-        """Pieces after the entry's up to the exit's, that included."""
+    def trace(self, text: str, base: int, stop: int, entry: tuple, exit_: tuple) -> list[int]:
+        """Ids after the entry's piece up to the exit's, that included."""
+        ends = self.ends(text, base, stop)
+        if ends is None:
+            return self._back(text, base, stop, entry, exit_)
+        first, last = ends
+        out = self._back(text, base, first, entry, (first, None))
+        for u in UNIT.findall(text, first - base, last - base):
+            out += self.units.get(u) or self.unit(u)
+        return out + self._back(text[last - base :], last, stop, (last, None), exit_)
+
+    def _back(self, text: str, base: int, stop: int, entry: tuple, exit_: tuple) -> list[int]:
         if entry == exit_:
             return []
         last = self.paths(text, base, stop, entry)
         parts, i = [], exit_[0]
-        if i == stop:
-            pass
-        else:
+        if i > stop:
             parts.append(exit_[1])
             i -= len(exit_[1])
         while i > entry[0]:
             parts.append(last[i])
             i -= len(last[i])
-        return parts[::-1]
+        return self.ids(parts[::-1])
 
     def scan(self, text: str, chunk: int) -> list[int]:
         """Chunks of one text: transfer matrices, their products, then each chunk's own path."""
@@ -269,10 +310,10 @@ class Pieces:
         states = [[(0, None)], *[self.states(text[max(0, b - self.longest) : b], text[b : b + self.longest], b) for b in borders[1:-1]], [x for x in self.states(text[-self.longest :], "", n)]]
         mats = [self.transfer(text[a : b + self.longest], a, b, states[k], states[k + 1]) for k, (a, b) in enumerate(zip(borders, borders[1:], strict=False))]
         chosen = choose(mats)
-        parts: list[str] = []
+        out: list[int] = []
         for k, (a, b) in enumerate(zip(borders, borders[1:], strict=False)):
-            parts += self.trace(text[a : b + self.longest], a, b, states[k][chosen[k]], states[k + 1][chosen[k + 1]])
-        return self.ids(parts)
+            out += self.trace(text[a : b + self.longest], a, b, states[k][chosen[k]], states[k + 1][chosen[k + 1]])
+        return out
 
 
 def marked(text: str) -> str:
@@ -352,7 +393,7 @@ def _traces(path: str):
             got = []
             for left, text, right, k, end, a, b in zip(pdf["left"], pdf["text"], pdf["right"], pdf["k"], pdf["last"], pdf["enter"], pdf["leave"], strict=True):
                 entries, exits = _borders(p, left, text, right, k, end)
-                got.append(np.array(p.ids(p.trace(text + right[: p.longest], 0, len(text), entries[a], exits[b])), np.int32))
+                got.append(np.array(p.trace(text + right[: p.longest], 0, len(text), entries[a], exits[b]), np.int32))
             out = pdf[["row", "k"]].copy()
             out["ids"] = got
             yield out
