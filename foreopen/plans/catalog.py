@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from foreopen.plans import decision_queries, enrich_queries, experiment_queries, market_queries, series_queries, text_queries  # noqa: F401
+from foreopen.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
