@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,10 @@ from foreopen.llm.common import cut, read, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: No piece has a space mark after another character, so the text may be cut before every run of marks.
-UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 #: Where a unit begins after another character.
 BORDER = re.compile(f"(?<=[^{SPACE}]){SPACE}")
-CACHE = 250_000
+CACHE = 300_000
+PAIRS = 400_000
 NONE = -(1 << 30)
 
 
@@ -47,15 +47,40 @@ class Pieces:
         #: When merging makes a piece: at its rank; single characters are there from the start.
         self.rank = {self.text[i]: -model.get_score(i) if len(self.text[i]) > 1 else -1.0 for i in plain}
         self.id = {self.text[i]: i for i in plain}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         #: Ids of units met of late, and of those met before them.
-        self.units: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.units: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        #: The same of words between blanks.
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.halves: dict[str, tuple[str, str]] = {}
         # a piece that merging never yields lies on no path
         self.vocab = {t for t in self.id if len(t) == 1 or self.merged(t)}
         self.longest = max(map(len, self.vocab), default=1)
         self.safe = not any(re.search(f"[^{SPACE}]{SPACE}", t) for t in self.vocab)
+        self.cut = self._units()
+        #: The longest piece by its first three characters.
+        self.reach: dict[str, int] = {}
+        for t in self.vocab:
+            self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
+        #: Bytes of each piece in a decoded text.
+        self.raw = [b"" if i in self.control else bytes([self.of_byte[i]]) if i in self.of_byte else self.text[i].replace(SPACE, " ").encode() for i in range(n)]
+
+    def _units(self) -> re.Pattern:
+        """Units: parts of a text between characters that no piece has next to each other, so that no piece spans two.
+
+        A unit is a run of marks with the letters after it up to punctuation that no piece joins to letters, or with
+        such punctuation up to letters; or else with all that follows. Line feeds are their own where no piece has them.
+        """
+        letter = re.compile(r"[^\W\d_]")
+        pairs = {(a, b) for t in self.vocab for a, b in zip(t, t[1:], strict=False)}
+        joined = {c for a, b in pairs for c, d in ((a, b), (b, a)) if letter.match(d)}
+        p = re.escape("".join(c for c in string.punctuation if c not in joined))
+        n = "" if any("\n" in t for t in self.vocab) else "\n"
+        parts = [rf"{SPACE}*[^\W\d_]++(?=[{SPACE}{n}{p}]|$)", rf"{SPACE}*[{p}]++(?=[{SPACE}{n}]|[^\W\d_]|$)" if p else "", f"{SPACE}*[^{SPACE}{n}]+", f"{SPACE}+", f"{n}+" if n else ""]
+        return re.compile("|".join(x for x in parts if x))
 
     def merged(self, text: str) -> bool:
         """Whether merging the best-ranked neighbours, leftmost first, makes the text one piece; notes its last merge."""
@@ -79,12 +104,14 @@ class Pieces:
         Undoes the merges on both sides of the border, the latest first. The two parts that then meet at the border
         stood there until the merge just undone; if they merge before that, the pieces never come about.
         """
-        key = (a, b)
-        ok = self.pairs.get(key)
+        row = self.pairs.setdefault(a, {})
+        ok = row.get(b)
         if ok is None:
-            if len(self.pairs) > CACHE:
-                self.pairs.clear()
-            ok = self.pairs[key] = self._agree(a, b)
+            self.n_pairs += 1
+            if self.n_pairs > PAIRS:
+                self.pairs, self.n_pairs = {a: row}, 0
+                row.clear()
+            ok = row[b] = self._agree(a, b)
         return ok
 
     def _agree(self, x: str, y: str) -> bool:
@@ -141,64 +168,84 @@ class Pieces:
         A place from which the end can't be reached is passed by from then on: whatever path came there, its last
         piece was the same.
         """
-        vocab, pairs, agree, longest, n = self.vocab, self.pairs, self.agree, self.longest, len(text)
+        vocab, agree, reach, n = self.vocab, self.agree, self.reach, len(text)
         parts: list[str] = []
         dead: set[int] = set()
-        at, end, free, before = 0, min(n, longest), True, ""
+        at, end, before, row = 0, min(n, reach.get(text[:3], 2)), None, None
         while at < n:
             while end > at:
                 t = text[at:end]
                 if t in vocab:
-                    if end not in dead:
-                        if free:
+                    if row is None:
+                        if end not in dead:
                             break
-                        ok = pairs.get((before, t))
-                        if ok or ok is None and agree(before, t):
+                    else:
+                        ok = row.get(t)
+                        if ok is None:
+                            ok = agree(before, t)
+                        if ok and end not in dead:
                             break
                 elif end == at + 1 and end not in dead:
                     break
                 end -= 1
             if end > at:
                 parts.append(t)
-                at, before, free = end, t, t not in vocab
-                end = min(n, at + longest)
+                at, before = end, t
+                end = min(n, at + reach.get(text[at : at + 3], 2))
             else:
                 dead.add(at)
                 end = at - 1
                 at -= len(parts.pop())
-                before = parts[-1] if parts else ""
-                free = before not in vocab
+                before = parts[-1] if parts else None
+            # a character outside the vocabulary agrees with all
+            row = self.pairs.setdefault(before, {}) if before in vocab else None
         return parts
 
-    def unit(self, text: str) -> tuple[int, ...]:
-        got = self.old.get(text)
+    def unit(self, text: str) -> bytes:
+        """Ids of a unit as 32-bit numbers."""
+        got = self.units.get(text)
+        if got is None:
+            got = self.old.get(text)
+            if got is None:
+                got = np.array(self.ids(self.path(text)), "<i4").tobytes()
+            if len(self.units) >= CACHE:
+                self.old, self.units = self.units, {}
+            self.units[text] = got
+        return got
+
+    def word(self, text: str, giant: int) -> bytes:
+        """Ids of a word with a mark before it."""
+        got = self.old_words.get(text)
         if got is None:
-            got = tuple(self.ids(self.path(text)))
-        if len(self.units) >= CACHE:
-            self.old, self.units = self.units, {}
-        self.units[text] = got
+            got = self._joined(SPACE + text, giant)
+        if len(self.words) >= CACHE:
+            self.old_words, self.words = self.words, {}
+        if len(text) <= 64:
+            self.words[text] = got
         return got
 
-    def encode(self, text: str, giant: int = 4096) -> list[int]:
+    def encode(self, text: str, giant: int = 4096) -> np.ndarray:
+        """Ids of a whole text. Units longer than giant, and vocabularies without units, are scanned in chunks."""
         if not text:
-            return []
-        text = marked(text)
+            return np.empty(0, np.int32)
         if not self.safe:
-            return self.scan(text, giant)
-        out: list[int] = []
-        for u in UNIT.findall(text):
-            got = self.units.get(u)
-            out += got if got is not None else self.unit(u) if len(u) <= giant else self.scan(u, giant)
-        return out
+            return np.array(self.scan(marked(text), giant), np.int32)
+        words = text.split(" ")
+        if SPACE in text or "" in words:  # runs of marks are units of their own
+            return np.frombuffer(self._joined(marked(text), giant), "<i4")
+        parts = list(map(self.words.get, words))
+        if None in parts:
+            for k, got in enumerate(parts):
+                if got is None:
+                    parts[k] = self.word(words[k], giant)
+        return np.frombuffer(b"".join(parts), "<i4")
+
+    def _joined(self, text: str, giant: int) -> bytes:
+        return b"".join([self.unit(u) if len(u) <= giant else np.array(self.scan(u, giant), "<i4").tobytes() for u in self.cut.findall(text)])
 
     def decode(self, ids) -> str:
-        out = bytearray()
-        for i in ids:
-            if i in self.of_byte:
-                out.append(self.of_byte[i])
-            elif i not in self.control:
-                out += self.text[i].encode()
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        raw = self.raw
+        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
     # the scan: a state is (end, piece), a piece across or up to a border; ends are places in the whole text
@@ -286,8 +333,7 @@ class Pieces:
             return self._back(text, base, stop, entry, exit_)
         first, last = ends
         out = self._back(text, base, first, entry, (first, None))
-        for u in UNIT.findall(text, first - base, last - base):
-            out += self.units.get(u) or self.unit(u)
+        out += self.encode(text[first - base + 1 : last - base].replace(SPACE, " ")).tolist()
         return out + self._back(text[last - base :], last, stop, (last, None), exit_)
 
     def _back(self, text: str, base: int, stop: int, entry: tuple, exit_: tuple) -> list[int]:
@@ -351,7 +397,7 @@ def _ids(path: str, carry: list[str]):
         p = pieces(path)
         for pdf in batches:
             out = pdf[["doc_id", *carry]].copy()
-            out["ids"] = [None if t is None else np.array(p.encode(t), np.int32) for t in pdf["text"]]
+            out["ids"] = [None if t is None else p.encode(t) for t in pdf["text"]]
             yield out
 
     return run
