@@ -102,19 +102,22 @@ class Votes:
         return out
 
 
-def fit(labelled: DataFrame, per_label: int = 1200, max_bytes: int = 1 << 16) -> Votes | None:
-    """Votes of ``(key, text, quality)``: about ``per_label`` texts of each label, chosen by hash; None without any.
+def fit(texts: DataFrame, marks: DataFrame, per_label: int = 1200, max_bytes: int = 1 << 16) -> Votes | None:
+    """Votes of ``(key, text)`` with ``(key, quality)``: about ``per_label`` texts of each label; None without any.
 
-    At most ``4 * per_label`` texts reach the driver. Texts of over ``max_bytes`` bytes aren't learnt from (they are
-    scored whole, like all others).
+    Keys are chosen by hash from the labels alone, so that the texts, which are many, are only filtered by a broadcast of
+    at most ``4 * per_label`` keys and never shuffled. Of labels that differ for one key the least counts. Texts of over
+    ``max_bytes`` bytes aren't learnt from (they are scored whole, like all others).
     """
-    usable = labelled.where(F.col("quality").isin(0, 1) & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    counts = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    marks = marks.where(F.col("quality").isin(0, 1) & F.col("key").isNotNull()).groupBy("key").agg(F.min("quality").alias("quality"))
+    counts = {r["quality"]: r["n"] for r in marks.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     rate = F.create_map(*[F.lit(x) for q, n in counts.items() for x in (q, min(1.0, per_label / n))])
     chance = F.xxhash64(F.lit("quality"), "key").bitwiseAND((1 << 30) - 1) / float(1 << 30)
-    rows = usable.where(chance < F.element_at(rate, F.col("quality"))).select("key", "quality", F.col("text").cast("binary").alias("text")).limit(4 * per_label).collect()
+    picked = marks.where(chance < F.element_at(rate, F.col("quality"))).orderBy("key").limit(4 * per_label)
+    usable = texts.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
+    rows = usable.join(F.broadcast(picked), "key").select("key", "quality", F.col("text").cast("binary").alias("text")).limit(8 * per_label).collect()
     rows.sort(key=lambda r: (r["key"], bytes(r["text"])))
     return Votes([bytes(r["text"]) for r in rows], [r["quality"] for r in rows]) if rows else None
 
@@ -143,7 +146,6 @@ def judge(docs: DataFrame, votes: Votes | None, carry: tuple[str, ...] = ()) ->
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    marks = read(spark, sf_dir, "labels").where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    marks = marks.where(~held_out(F.col("doc_id"), 3, 1))
-    votes = fit(docs.join(marks, "doc_id").select(F.col("doc_id").alias("key"), "text", "quality"))
+    marks = read(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 3, 1)).select(F.col("doc_id").alias("key"), "quality")
+    votes = fit(docs.select(F.col("doc_id").alias("key"), "text"), marks)
     return judge(docs, votes).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
