@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Word lists and patterns that decide results.
 NEGATORS = ["no", "not", "never", "without", "neither", "nor", "none", "cannot", "nobody", "nothing"]
@@ -44,7 +45,7 @@ def normal_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if isinstance(x, str) else "")
 

@@ -86,9 +86,6 @@ def duck_sql(sql: str) -> str:
 class Market:
     """The tables of one data folder."""
 
-    #: Cutoff of a target day: half past nine.
-    CUTOFF = F.expr("interval '09:30' hour to minute")
-
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
@@ -121,7 +118,7 @@ def calendar_of(dates: DataFrame) -> DataFrame:
 
 def cutoff(day: Column) -> Column:
     """When a target day's information ends: its 09:30, the moment itself excluded."""
-    return day.cast("timestamp_ntz") + Market.CUTOFF
+    return day.cast("timestamp_ntz") + F.expr("interval '09:30' hour to minute")
 
 
 def as_of(table: DataFrame, until, since=None, symbols: list[str] | None = None, columns: list[str] | None = None, known: str = "known_at") -> DataFrame:

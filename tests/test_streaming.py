@@ -3,10 +3,10 @@
 from foreopen.streaming import windows as W
 
 
-def _stream(spark, data, tmp_path):
+def _stream(spark, data, tmp_path, files=1):
     events = spark.read.parquet(f"{data}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
-    return events, W.event_stream(spark, str(tmp_path / "in"), events.schema)
+    return events, W.event_stream(spark, str(tmp_path / "in"), events.schema, files)
 
 
 def test_hourly(spark, data, tmp_path):
@@ -17,7 +17,7 @@ def test_hourly(spark, data, tmp_path):
 
 
 def test_dedup(spark, data, tmp_path):
-    events, stream = _stream(spark, data, tmp_path)
+    events, stream = _stream(spark, data, tmp_path, files=10)  # in one batch: none is late
     twice = stream.union(stream)
     got = W.drain(W.deduplicated(twice, ("event_id",)), "dedup", "append", str(tmp_path / "c"))
     assert got.count() == events.count()
