@@ -62,3 +62,19 @@ def pre_market_return(price: DataFrame) -> DataFrame:
     g = price.where("session = 'pre'").groupBy(KEY, F.col("datetime").cast("date").alias("day"))
     x = g.agg(F.count("*").alias("n"), F.max_by("close", "datetime").alias("l"), F.min_by("close", "datetime").alias("f"))
     return x.select(KEY, "day", F.when(F.col("n") >= 2, F.col("l") / F.col("f") - 1).alias("pre_ret"))
+
+
+def sample_features(daily: DataFrame, price: DataFrame | None = None, least: int = 30) -> DataFrame:
+    """``ret1, ret5, rsi14, macd_hist, pct_b, band_width, vol_ratio`` (and ``pre_ret``) from each symbol's ``least``-th day on."""
+    w = _w()
+    volume = F.col("volume").cast("double")
+    x = daily.select(
+        KEY, DAY, F.row_number().over(w).alias("_n"), (F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).alias("ret1"), (F.try_divide(F.col("close"), F.lag("close", 5).over(w)) - 1).alias("ret5"),
+        F.try_divide(volume, S.rolling(volume, w, 20, least=1)).alias("vol_ratio"),
+    )
+    parts = [rsi(daily).withColumnRenamed("rsi", "rsi14"), macd(daily).select(KEY, DAY, F.col("hist").alias("macd_hist")), bollinger(daily).select(KEY, DAY, "pct_b", F.col("width").alias("band_width"))]
+    for p in parts:
+        x = x.join(p, [KEY, DAY], "left")
+    if price is not None:
+        x = x.join(pre_market_return(price).withColumnRenamed("day", DAY), [KEY, DAY], "left")
+    return x.where(F.col("_n") >= least).drop("_n")

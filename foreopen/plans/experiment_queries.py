@@ -8,7 +8,7 @@ from foreopen.operators import decisions as D
 from foreopen.operators import experiments as E
 from foreopen.operators.asof import to_target
 from foreopen.operators.features import analyst_block
-from foreopen.plans.market_queries import PANEL, labelled
+from foreopen.plans.market_queries import PANEL, label_sql, labelled
 from foreopen.plans.market_queries import _ANALYST as ANALYST
 from foreopen.plans.registry import query, r, rounded, score_ctes
 
@@ -211,3 +211,56 @@ def explain_rows(m):
 
 
 __all__ = ["to_target"]
+
+
+@query("""with f(fold, a) as (values ('wf 2024-01', date '2024-01-12'), ('wf 2024-02', date '2024-02-01')), d as (select distinct symbol, target from v_pred)
+ select fold as split, symbol, target, case when target >= a then 'test' else 'train' end as part from d cross join f where (target >= a and target < a + 5) or target < a - 2""")
+def walk_forward(m):
+    from foreopen.plans.runs import splits
+
+    return splits(m.predictions, "walk_forward", starts=["2024-01-12", "2024-02-01"], horizon_days=5, embargo_days=2)
+
+
+_HELD = f"""d as (select distinct symbol, target from v_pred), h as (select symbol, i, row_number() over (partition by i order by {draw("'0'", 'i::varchar', 'symbol')}, symbol) <= 4 as held from (select distinct symbol from d) z cross join range(3) t(i))"""
+
+
+@query(f"with {_HELD} select 'symbol_holdout ' || i as split, d.symbol, target, case when held then 'test' else 'train' end as part from d join h on h.symbol = d.symbol")
+def symbol_holdout(m):
+    from foreopen.plans.runs import splits
+
+    return splits(m.predictions, "symbol_holdout", n_sets=3, k=4)
+
+
+@query(f"""with {_HELD} select 'time_symbol_holdout ' || i as split, d.symbol, target, case when held then 'test' else 'train' end as part from d join h on h.symbol = d.symbol
+ where (held and target >= date '2024-01-15') or (not held and target < date '2024-01-15' - 3)""")
+def time_symbol_holdout(m):
+    from foreopen.plans.runs import splits
+
+    return splits(m.predictions, "time_symbol_holdout", n_sets=3, k=4, start="2024-01-15", embargo_days=3)
+
+
+_DRAW = draw("'0'", "symbol", "target::varchar", "text")
+
+
+@query(f"""with p as (select sub as symbol, created_et::date as target, body as text, created_et, turn as ticker_mentions, length(body) as n from v_reddit),
+ u as ((select symbol, target, text, 'random' as sample_type, 0 as i from p order by {_DRAW}, symbol, target, text limit 10)
+ union all (select symbol, target, text, 'long', 1 from p order by n desc, created_et desc, symbol, target, text limit 10)
+ union all (select symbol, target, text, 'ticker_repeat', 2 from p order by ticker_mentions desc, created_et desc, symbol, target, text limit 10)
+ union all (select symbol, target, text, 'recent', 3 from p order by created_et desc, symbol, target, text limit 10)),
+ o as (select * from u qualify row_number() over (partition by symbol, target, text order by i) = 1),
+ r as (select symbol, target, text, 'random_fill' as sample_type, 4 as i from p where not exists (select 1 from o where o.symbol = p.symbol and o.target = p.target and o.text = p.text) order by {_DRAW}, symbol, target, text limit 40)
+ select symbol, target, text, sample_type from (select * from o union all select * from r) z order by i, symbol, target, text limit 40""")
+def representative_sample(m):
+    from foreopen.plans.runs import representative
+
+    pool = m.reddit.select(F.col("sub").alias("symbol"), F.col("created_et").cast("date").alias("target"), F.col("body").alias("text"), "created_et", F.col("turn").alias("ticker_mentions"))
+    return representative(pool, 40)
+
+
+@query(f"""with {PANEL}, w as (select s.symbol, t.target from (select distinct symbol from v_daily) s cross join (select distinct target from panel) t)
+ select w.symbol, w.target, coalesce(case when gap_pct is null then 2 else ({label_sql('gap_pct * 5.25')}) end, 2) as label from w left join panel p on p.symbol = w.symbol and p.target = w.target""")
+def predict_all(m):
+    """The default rule for every symbol and target day; flat where nothing is known."""
+    from foreopen.plans.runs import predict
+
+    return predict(m, None)

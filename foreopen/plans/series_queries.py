@@ -131,3 +131,15 @@ def yesterday_label(m):
     from foreopen.sources.market import label_of
 
     return m.daily_long.select("symbol", "date_et", F.lag(label_of(F.col("ret") * 100)).over(S.by("symbol", order="date_et")).alias("label"))
+
+
+@query(f"""with recursive chg as (select symbol, date_et, greatest(coalesce(ch, 0), 0) as up, greatest(coalesce(-ch, 0), 0) as dn from {_CHANGE} a),
+{_RSI_SEED('up', 'u')}, {_RSI_SEED('dn', 'v')}, {_MACD},
+b as (select symbol, date_et, close, row_number() over w as rn, close / nullif(lag(close) over w, 0) - 1 as ret1, close / nullif(lag(close, 5) over w, 0) - 1 as ret5, volume / nullif(avg(volume) over v, 0) as vol_ratio,
+ {_BB.format('avg(close) over v')} as mid, {_BB.format('stddev_pop(close) over v')} as sd from v_daily_long window w as (partition by symbol order by date_et), v as (partition by symbol order by date_et rows between 19 preceding and current row))
+select b.symbol, b.date_et, {r('ret1')} as ret1, {r('ret5')} as ret5, {r('vol_ratio')} as vol_ratio, {r('case when fu.s is null then null when fv.s = 0 then 100.0 else 100 - 100 / (1 + fu.s / fv.s) end')} as rsi14,
+ {r('(d.macd - f3.s) / b.close')} as macd_hist, {r('(b.close - (mid - 2 * sd)) / nullif(4 * sd, 0)')} as pct_b, {r('4 * sd / mid')} as band_width from b
+ left join fu on fu.symbol = b.symbol and fu.date_et = b.date_et left join fv on fv.symbol = b.symbol and fv.date_et = b.date_et
+ left join d on d.symbol = b.symbol and d.date_et = b.date_et left join f3 on f3.symbol = b.symbol and f3.date_et = b.date_et where rn >= 30""")
+def sample_features(m):
+    return rounded(I.sample_features(m.daily_long))
