@@ -11,6 +11,7 @@ The vocabulary is a public model whose path is a parameter; nothing is trained.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import string
 from collections.abc import Iterator
@@ -26,7 +27,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Where a unit begins after another character.
 BORDER = re.compile(f"(?<=[^{SPACE}]){SPACE}")
-CACHE = 300_000
+CACHE = 250_000
+#: How many units stay known from one task to the next.
+KEPT = 50_000
+WORDS = 200_000
 PAIRS = 400_000
 NONE = -(1 << 30)
 
@@ -218,7 +222,7 @@ class Pieces:
         got = self.old_words.get(text)
         if got is None:
             got = self._joined(SPACE + text, giant)
-        if len(self.words) >= CACHE:
+        if len(self.words) >= WORDS:
             self.old_words, self.words = self.words, {}
         if len(text) <= 64:
             self.words[text] = got
@@ -243,6 +247,12 @@ class Pieces:
     def _joined(self, text: str, giant: int) -> bytes:
         return b"".join([self.unit(u) if len(u) <= giant else np.array(self.scan(u, giant), "<i4").tobytes() for u in self.cut.findall(text)])
 
+    def trim(self) -> None:
+        """Forget all but the units and words met first since the last turnover: those are the frequent ones."""
+        self.old, self.old_words = {}, {}
+        self.units, self.words = (dict(itertools.islice(x.items(), KEPT)) for x in (self.units, self.words))
+        self.pairs, self.n_pairs = {}, 0
+
     def decode(self, ids) -> str:
         raw = self.raw
         text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
@@ -399,6 +409,7 @@ def _ids(path: str, carry: list[str]):
             out = pdf[["doc_id", *carry]].copy()
             out["ids"] = [None if t is None else p.encode(t) for t in pdf["text"]]
             yield out
+        p.trim()  # the worker may go on to other work
 
     return run
 
@@ -422,7 +433,7 @@ def _matrices(path: str):
 
 
 def _borders(p: Pieces, left: str, text: str, right: str, k: int, end: int):
-    entries = [(0, None)] if k == 0 else p.states(left, text, 0)
+    entries = [(0, None)] if k == 0 else p.states(left, text + right, 0)
     return entries, p.states((left + text)[-p.longest :], "" if k == end else right, len(text))
 
 
@@ -443,6 +454,7 @@ def _traces(path: str):
             out = pdf[["row", "k"]].copy()
             out["ids"] = got
             yield out
+        p.trim()
 
     return run
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 ODD = re.compile(r"[^\S \n]")
 LEAF = 512
 CACHE = 250_000
+KEPT = 50_000
 
 
 class Counter:
@@ -174,6 +176,7 @@ def build(docs: DataFrame, ranks: str = RANKS, leaf: int = LEAF, carry: tuple[st
             out["leaf_chars"] = [np.array(n, np.int32) for n, _ in leaves]
             out["leaf_tokens"] = [np.array(t, np.int32) for _, t in leaves]
             yield out
+        c.old, c.new = {}, dict(itertools.islice(c.new.items(), KEPT))  # the worker may go on to other work
 
     own = "".join(f"`{c}` {kind[c]}, " for c in ("doc_id", *carry))
     return docs.select("doc_id", "text", *[c for c in carry if c != "text"]).mapInPandas(run, own + "n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>")
