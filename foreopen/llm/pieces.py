@@ -402,12 +402,28 @@ def pieces(path: str) -> Pieces:
     return _LOADED[path]
 
 
-def _ids(path: str, carry: list[str]):
+DIGEST = "n_tokens bigint, n_chars bigint, ids_sha256 string, text_sha256 string"
+
+
+def digest(p: Pieces, ids: np.ndarray | None) -> tuple:
+    """Tokens, characters and digests of ids (little-endian 32-bit) and of the text decoded from them."""
+    ids = np.empty(0, np.int32) if ids is None else np.asarray(ids, "<i4")
+    text = p.decode(ids.tolist())
+    return len(ids), len(text), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
+def _ids(path: str, carry: list[str], digests: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(path)
         for pdf in batches:
             out = pdf[["doc_id", *carry]].copy()
-            out["ids"] = [None if t is None else p.encode(t) for t in pdf["text"]]
+            ids = (None if t is None else p.encode(t) for t in pdf["text"])
+            if digests:
+                rows = [digest(p, x) for x in ids]
+                for k, name in enumerate(("n_tokens", "n_chars", "ids_sha256", "text_sha256")):
+                    out[name] = [r[k] for r in rows]
+            else:
+                out["ids"] = list(ids)
             yield out
         p.trim()  # the worker may go on to other work
 
@@ -459,9 +475,11 @@ def _traces(path: str):
     return run
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = 32_768, carry: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, chunk: int = 32_768, carry: tuple[str, ...] = (), digests: bool = False) -> DataFrame:
     """``(doc_id, ids array<int>)`` and the carried columns: the pieces of whole texts, as the model's library gives them.
 
+    With digests, the columns of DIGEST come in the place of the ids, made where the ids are.
+
     A null text has null ids, an empty one no ids. Texts of over ``chunk`` characters are cut into chunk rows, spread
     over the cluster, and encoded by the scan; all others are encoded where they are. Repeated rows are encoded each by
     itself; other columns are ignored; an empty table gives no rows.
@@ -469,7 +487,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = 32_768, carry: tupl
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)
     own = "".join(f"`{c}` {kind[c]}, " for c in ("doc_id", *carry))
-    small = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).select("doc_id", *carry, "text").mapInPandas(_ids(model, list(carry)), own + "ids array<int>")
+    small = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).select("doc_id", *carry, "text").mapInPandas(_ids(model, list(carry), digests), own + (DIGEST if digests else "ids array<int>"))
     big = cut(docs.where(F.length("text") > chunk).select("doc_id", *carry, F.concat(F.lit(SPACE), F.replace(F.col("text"), F.lit(" "), F.lit(SPACE))).alias("text")).withColumn("row", F.expr("uuid()")))
     if big.isEmpty():
         return small
@@ -477,13 +495,23 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = 32_768, carry: tupl
     at = lambda a, n: F.substring("text", a, n)
     k0 = F.col("k") * chunk
     chunks = big.select("row", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))).alias("k"))
-    chunks = chunks.select("row", "k", F.floor((F.length("text") - 1) / chunk).cast("int").alias("last"), F.when(F.col("k") == 0, "").otherwise(at(k0 - span + 1, F.lit(span))).alias("left"), at(k0 + chunk + 1, F.lit(span)).alias("right"), at(k0 + 1, F.lit(chunk)).alias("text"))
+    chunks = chunks.select("row", "k", F.floor((F.length("text") - 1) / chunk).cast("int").alias("last"), at(F.greatest(k0 - span + 1, F.lit(1)), F.least(k0, F.lit(span))).alias("left"), at(k0 + chunk + 1, F.lit(span)).alias("right"), at(k0 + 1, F.lit(chunk)).alias("text"))
     chunks = cut(chunks.repartition("row", "k"))
     matrices = chunks.mapInPandas(_matrices(model), "row string, k int, rows int, cols int, cells binary")
     borders = matrices.groupBy("row").applyInPandas(_combine, "row string, k int, enter int, leave int")
     parts = chunks.join(borders, ["row", "k"]).mapInPandas(_traces(model), "row string, k int, ids array<int>")
     ids = parts.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return small.unionByName(big.drop("text").join(ids, "row").drop("row"))
+    whole = big.drop("text").join(ids, "row").drop("row")
+    if digests:
+
+        def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            p = pieces(model)
+            for pdf in batches:
+                rows = [digest(p, x) for x in pdf["ids"]]
+                yield pd.concat([pdf[["doc_id", *carry]], pd.DataFrame(rows, columns=["n_tokens", "n_chars", "ids_sha256", "text_sha256"], index=pdf.index)], axis=1)
+
+        whole = whole.mapInPandas(last, own + DIGEST)
+    return small.unionByName(whole)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -500,22 +528,6 @@ def decode(encoded: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ())
     return encoded.select("doc_id", *carry, "ids").mapInPandas(run, "".join(f"`{c}` {kind[c]}, " for c in ("doc_id", *carry)) + "text string")
 
 
-def _digests(model: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = pieces(model)
-        for pdf in batches:
-            rows = []
-            for i, x in zip(pdf["doc_id"], pdf["ids"], strict=True):
-                ids = np.empty(0, np.int32) if x is None else np.asarray(x, np.int32)
-                text = p.decode(ids.tolist())
-                rows.append((i, len(ids), len(text), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_chars", "ids_sha256", "text_sha256"])
-
-    return run
-
-
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each whole text, digests of its ids (little-endian 32-bit) and of the text decoded from them."""
-    docs = read(spark, sf_dir, "documents")
-    kind = dict(docs.dtypes)["doc_id"]
-    return encode(docs).mapInPandas(_digests(MODEL), f"doc_id {kind}, n_tokens bigint, n_chars bigint, ids_sha256 string, text_sha256 string")
+    return encode(read(spark, sf_dir, "documents"), digests=True)
