@@ -11,7 +11,8 @@ from foreopen.sources.market import Market, duck_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-DIGITS = 9
+#: Digits that figures are compared at; FINE where a value may end in a 5 just after them.
+DIGITS, FINE = 7, 9
 
 
 def query(sql: str | None = None):
@@ -26,18 +27,18 @@ def query(sql: str | None = None):
     return keep
 
 
-def rnd(c) -> Column:
+def rnd(c, digits: int = DIGITS) -> Column:
     """Rounded, and never minus zero: sums in another order differ in their last digits."""
-    return F.round(F.col(c) if isinstance(c, str) else c, DIGITS) + F.lit(0.0)
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
 
 
-def r(sql: str) -> str:
-    return f"(round(cast({sql} as double), {DIGITS}) + 0.0)"
+def r(sql: str, digits: int = DIGITS) -> str:
+    return f"(round(cast({sql} as double), {digits}) + 0.0)"
 
 
-def rounded(df: DataFrame) -> DataFrame:
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """All doubles rounded."""
-    return df.select(*[rnd(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[rnd(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def score_ctes(src: str, keys: str, name: str = "scored") -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foreopen.functions import series as S
 from foreopen.operators import indicators as I
-from foreopen.plans.registry import query, r, rounded
+from foreopen.plans.registry import FINE, query, r, rounded
 
 _W = "window w as (partition by symbol order by date_et)"
 
@@ -19,10 +19,10 @@ f as (select n.symbol, n.i, n.date_et, ({first})::double as s from num n where n
  union all select n.symbol, n.i, n.date_et, {alpha!r} * n.x + {1 - alpha!r} * f.s from f join num n on n.symbol = f.symbol and n.i = f.i + 1)"""
 
 
-@query(f"select symbol, date_et, {r('case when count(close) over v >= 20 then avg(close) over v end')} as sma from v_daily_long window v as (partition by symbol order by date_et rows between 19 preceding and current row)")
+@query(f"select symbol, date_et, {r('case when count(close) over v >= 20 then avg(close) over v end', FINE)} as sma from v_daily_long window v as (partition by symbol order by date_et rows between 19 preceding and current row)")
 def sma(m):
     d = m.daily_long
-    return rounded(d.select("symbol", "date_et", S.rolling(F.col("close"), S.by("symbol", order="date_et"), 20, least=20).alias("sma")))
+    return rounded(d.select("symbol", "date_et", S.rolling(F.col("close"), S.by("symbol", order="date_et"), 20, least=20).alias("sma")), FINE)
 
 
 @query(f"select symbol, date_et, {r('(' + ' + '.join(f'{10 - i} * lag(close, {i}) over w' for i in range(10)) + ') / 55')} as wma from v_daily_long {_W}")
@@ -93,9 +93,9 @@ _BB = "case when count(close) over v >= 20 then {} end"
 
 @query(f"""with b as (select symbol, date_et, close, {_BB.format('avg(close) over v')} as mid, {_BB.format('stddev_pop(close) over v')} as sd
  from v_daily_long window v as (partition by symbol order by date_et rows between 19 preceding and current row))
- select symbol, date_et, {r('mid')} as mid, {r('mid + 2 * sd')} as upper, {r('mid - 2 * sd')} as lower, {r('(close - (mid - 2 * sd)) / nullif(4 * sd, 0)')} as pct_b, {r('4 * sd / mid')} as width from b""")
+ select symbol, date_et, {r('mid', FINE)} as mid, {r('mid + 2 * sd', FINE)} as upper, {r('mid - 2 * sd', FINE)} as lower, {r('(close - (mid - 2 * sd)) / nullif(4 * sd, 0)', FINE)} as pct_b, {r('4 * sd / mid', FINE)} as width from b""")
 def bollinger(m):
-    return rounded(I.bollinger(m.daily_long).select("symbol", "date_et", "mid", "upper", "lower", "pct_b", "width"))
+    return rounded(I.bollinger(m.daily_long).select("symbol", "date_et", "mid", "upper", "lower", "pct_b", "width"), FINE)
 
 
 @query("""with a as (select symbol, date_et, case when count(close) over v50 >= 50 then avg(close) over v50 end - case when count(close) over v200 >= 200 then avg(close) over v200 end as d
