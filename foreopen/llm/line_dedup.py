@@ -161,7 +161,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, filter_
     found = bytes_of.where("doc_id is not null").select("doc_id", "text").mapInPandas(_suspects(shared, min_chars, filter_bits // SHARDS), f"doc_id {kind}, key binary")
     found = cut(found)
     known = found.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
-    drops = found.join(known.select("key", "keep"), "key").where("doc_id <> keep").groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
+    # written, so that both sides of the join are plain exchanges, which adaptive execution splits where a line is common
+    known = cut(known.select("key", "keep"))
+    drops = found.join(known, "key").where("doc_id <> keep").groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
     types = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carry)
     out = bytes_of.join(drops, "doc_id", "left").mapInPandas(_drop(kind, list(carry)), f"doc_id {kind}{types}, text binary, n_lines bigint, n_dropped bigint")
     return out.withColumn("text", F.col("text").cast("string"))
