@@ -126,7 +126,8 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFram
 
 def tiles(members: DataFrame, threshold: float) -> DataFrame:
     """``(node, links)`` by comparing whole groups ``(root, node, weight, vec)`` in tiles of about TILE rows a side."""
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    # written, so that a large group's join on its root can be split
+    sizes = cut(members.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")))
     own = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "weight", "vec")
@@ -225,9 +226,9 @@ def _resolve(graph: DataFrame, nodes: DataFrame, threshold: float, k: int) -> Da
     counted = both.join(nodes.select(F.col("node").alias("v"), "weight"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("weight").alias("listed"))
     roots = cut(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
     full = links.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    wide = roots.join(full, "node").select("root").distinct()
+    wide = cut(roots.join(full, "node").select("root").distinct())
     widened = tiles(roots.join(wide, "root", "left_semi").join(nodes.select("node", "weight", "vec"), "node"), threshold)
-    least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
+    least = cut(roots.groupBy("root").agg(F.min("node").alias("component_id")))
     own = nodes.select("node").join(counted, "node", "left").join(widened, "node", "left").join(roots.join(least, "root").select("node", "component_id"), "node", "left")
     return own.select("node", F.coalesce("links", "listed", F.lit(0)).cast("long").alias("links"), F.coalesce("component_id", "node").alias("component_id"))
 
