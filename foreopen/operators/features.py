@@ -18,6 +18,7 @@ RELEVANCE = (0, 1, 2)
 NEWS_WINDOW = 20
 FIRST_LOOKBACK = 5
 
+# Names of the feature groups and their columns.
 GROUPS = {
     "core": ["gap_pct", "gap_rank"],
     "scale": ["vol5", "vol20", "atr14", "big_rate60", "zgap"],
@@ -94,15 +95,20 @@ def gaps(block: DataFrame, hours: DataFrame, calendar: DataFrame) -> DataFrame:
     floor = F.when(F.col("vol20").isNotNull(), F.greatest("vol20", F.lit(0.5)))
     x = x.withColumns({"gap_rank": S.pct_rank(F.col("gap_pct"), "target"), "zgap": S.clip(F.col("gap_pct") / floor, -10.0, 10.0), "mkt_gap": S.loo_median(F.col("gap_pct"), "target")})
     x = x.withColumn("resid_gap", F.col("gap_pct") - F.col("beta60") * F.col("mkt_gap")).drop("pre_last", "post_last")
-    return x.join(regime(x), "target", "left")
+    day = S.Window.partitionBy("target")  # the day's rows are together already
+    return x.withColumns({name: c.over(day) for name, c in _regime().items()})
+
+
+def _regime() -> dict[str, Column]:
+    return {
+        "reg_med_vol20": F.median("vol20"), "reg_med_absgap": F.median(F.abs("gap_pct")), "reg_gap_disp": F.stddev_samp("gap_pct"),
+        "reg_mkt_gap": F.median("gap_pct"), "reg_big_ratio": F.avg((F.abs("gap_pct") >= 1.0).cast("double")),
+    }
 
 
 def regime(x: DataFrame) -> DataFrame:
     """A target day's market: medians and spread over the universe."""
-    return x.groupBy("target").agg(
-        F.median("vol20").alias("reg_med_vol20"), F.median(F.abs("gap_pct")).alias("reg_med_absgap"), F.stddev_samp("gap_pct").alias("reg_gap_disp"),
-        F.median("gap_pct").alias("reg_mkt_gap"), F.avg((F.abs("gap_pct") >= 1.0).cast("double")).alias("reg_big_ratio"),
-    )
+    return x.groupBy("target").agg(*[c.alias(name) for name, c in _regime().items()])
 
 
 def earnings_block(earnings: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -198,7 +204,7 @@ def novelty(reps: DataFrame, back: int = NEWS_WINDOW) -> DataFrame:
 
 def text_block(news: DataFrame, calendar: DataFrame, symbols: DataFrame, aliases: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
     """All text features on the grid of symbols and target days."""
-    rows = articles(news, calendar, symbols, aliases)
+    rows = articles(news, calendar, symbols, aliases).persist()  # read six times below; lost parts are made again
     clusters = first_clusters(rows)
     n = lambda cond: F.count_if(cond).cast("double")
     counts = clusters.groupBy("symbol", "target").agg(*[n(F.col("rel") >= r).alias(f"n_clu_r{r}") for r in RELEVANCE], *[n((F.col("rel") >= r) & F.col("is_first")).alias(f"n_first_r{r}") for r in RELEVANCE])
@@ -208,7 +214,7 @@ def text_block(news: DataFrame, calendar: DataFrame, symbols: DataFrame, aliases
             out = out.withColumn(f"n_{kind}_r{r}_abn", abnormal(f"n_{kind}_r{r}"))
     share = rows.groupBy("symbol", "target").agg(F.avg("is_template").alias("tmpl_share_r0"))
     sources = rows.where("is_template = 0 and rel >= 1").groupBy("symbol", "target").agg(F.count_distinct("source").cast("double").alias("n_src_r1"))
-    reps = representatives(rows)
+    reps = representatives(rows).persist()
     net, unc = T.lexicon_scores(F.col("title"), lexicon["positive"], lexicon["negative"], lexicon["uncertainty"]) if lexicon else (F.lit(None).cast("double"),) * 2
     scored = reps.withColumns({"lm_net": net, "lm_unc": unc} | T.event_flags(F.col("title")))
     parts = F.array_sort(F.collect_list(F.struct("known_at", "ckey", "title")))
