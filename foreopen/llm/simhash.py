@@ -78,7 +78,8 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     nodes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     groups = components(links(nodes.select("fp")))
     rooted = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written, so that a large component's join on its root can be split
+    least = cut(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
     return marks.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
 
 
