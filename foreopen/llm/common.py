@@ -24,18 +24,40 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and go on from the files.
-
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is used only where that is unset.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Where it is unset a local master gets a temporary one; a cluster is an error."""
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="foreopen-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the cluster's shared checkpoint folder and go on from the files."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foreopen-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever the cluster keeps it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(*spent: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` returned and that nothing still to be computed reads."""
+    for df in spent:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            remove(df.sparkSession, file.get())
+
+
 def lower_ascii(col):
     """A-Z to a-z; every other character stays."""
     return F.translate(col, UPPER, LOWER)

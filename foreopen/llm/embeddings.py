@@ -1,11 +1,12 @@
-"""Embedding near-dedup by NN-descent.
-
-A first neighbour graph comes from random hyperplanes: vectors are sorted by the sides they lie on and by one more
-projection, and compared with those near them in the order. Rounds of neighbours-of-neighbours joins then refine the
-lists: the neighbours of each vector meet and compare among themselves. A list that is full of links may hide more; such
-vectors' lists are enlarged to their whole connected group, compared in tiles of bounded size. An audit compares a
-bounded sample of vectors with all rows; where too few links were found, more hyperplanes and rounds follow. Only edges
-at the threshold are kept. Equal vectors are one node with a weight, so copies never meet in pairs.
+"""Embedding near-dedup by NN-descent over cells.
+
+Vectors that lie within half the threshold's angle of a common centre are one cell: all of them link with each other, so
+a tight crowd of near copies is counted without forming its pairs. Looser crowds become cells around one vector with
+which all others link. Cells (mostly single vectors) are the nodes of a neighbour graph. A first graph comes from random hyperplanes; rounds of neighbours-of-neighbours joins refine it. A cell's list
+that is full of cells in reach may hide more: such lists are enlarged, and their joins repeated, until none is full.
+Of two cells in reach either all members link, by the triangle inequality, or their members are compared in blocks that
+give counts. A bounded sample of vectors is compared with all rows: the measured recall decides on further attempts, and
+a result under the target is an error. Equal vectors are one node with a weight.
 """
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foreopen.llm.common import components, cut, read
+from foreopen.llm.common import components, cut, forget, read
 
 WINDOW = 192
-TILE = 256
-EDGE = "u bigint, v bigint, sim double"
-_NONE = pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64), "sim": np.empty(0)})
+TILE = 512
+#: Cells of one batch are formed among so many rows.
+BATCH = 1024
+#: Angles this near to a limit are decided by comparing members.
+MARGIN = 1e-5
+EDGE = "u bigint, v bigint, gap double"
+BALL = "node bigint, space string, weight bigint, vec array<float>, radius double"
 
 
 def unit(vectors) -> np.ndarray:
@@ -32,29 +37,43 @@ def unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def best(nodes: np.ndarray, x: np.ndarray, group: np.ndarray, k: int, least: float) -> pd.DataFrame:
-    """Directed edges to each row's k nearest of its group, at cosine ``least`` or more."""
-    if len(nodes) < 2:
-        return _NONE
-    s = x @ x.T
-    s[(group[:, None] != group[None, :]) | (nodes[:, None] == nodes[None, :])] = -2
-    if len(nodes) > k + 1:
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    else:
-        top = np.broadcast_to(np.arange(len(nodes)), s.shape)
-    sims = np.take_along_axis(s, top, 1)
-    i, j = np.nonzero(sims >= least)
-    return pd.DataFrame({"u": nodes[i], "v": nodes[top[i, j]], "sim": sims[i, j]})
+def angle(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1.0, 1.0))
+
+
+def pairs_of(a: tuple, b: tuple, k: int, least: float) -> pd.DataFrame:
+    """Edges from each row of a to its k nearest rows of b, at cosine ``least`` or more, no farther than worst.
+
+    A side is (node, unit vectors, radius, worst). The gap of two cells is their centres' angle less both radii; an edge
+    worse than all that both ends have already is left out.
+    """
+    node, x, radius, worst = a
+    other, y, r2, worst2 = b
+    s = x @ y.T
+    i, j = np.nonzero((s >= least) & (node[:, None] != other[None, :]))
+    gap = angle(s[i, j]) - radius[i] - r2[j]
+    use = gap < np.maximum(worst[i], worst2[j])
+    i, j, gap = i[use], j[use], gap[use]
+    order = np.lexsort((gap, i))
+    i, j, gap = i[order], j[order], gap[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    top = place < k
+    return pd.DataFrame({"u": node[i[top]], "v": other[j[top]], "gap": gap[top]})
+
+
+def side_of(pdf: pd.DataFrame) -> tuple:
+    worst = pdf["worst"].to_numpy(float) if "worst" in pdf else np.full(len(pdf), np.inf)
+    return pdf["node"].to_numpy(), unit(pdf["vec"]), pdf["radius"].to_numpy(float), np.where(np.isnan(worst), np.inf, worst)
 
 
 def usable() -> Column:
-    """Whether a row can link: id and label given, every component finite, not all zero."""
+    """Whether a row can link: label given, every component finite, not all zero."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     return F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(fine, F.lit(False))
 
 
-def first_graph(nodes: DataFrame, tables: int, bits: int, k: int, least: float, seed: int) -> DataFrame:
-    """Edges among vectors that lie on the same sides of random hyperplanes, or next to each other in that order."""
+def in_order(balls: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
+    """Every row once a table, dealt and sorted by the sides of random hyperplanes it lies on and one more projection."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
@@ -65,7 +84,78 @@ def first_graph(nodes: DataFrame, tables: int, bits: int, k: int, least: float,
                 side = np.einsum("nd,dtb->ntb", unit(own["vec"]), planes[dim])
                 code = ((side[:, :, :bits] > 0) << np.arange(bits)).sum(2)
                 for t in range(tables):
-                    yield pd.DataFrame({"space": own["space"], "t": t, "code": code[:, t], "place": side[:, t, bits], "node": own["node"], "vec": own["vec"]})
+                    yield own.assign(t=t, code=code[:, t], place=side[:, t, bits])
+
+    n = int(balls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = balls.select("node", "space", "weight", "vec", "radius").mapInPandas(keys, f"{BALL}, t int, code bigint, place double")
+    return spread.repartitionByRange(n, "space", "t", "code", "place").sortWithinPartitions("space", "t", "code", "place")
+
+
+def gather(rows: pd.DataFrame, theta: float, tight: bool) -> list[tuple]:
+    """Cells of some rows of one space: ``(node, space, weight, vec, radius, members)``.
+
+    The row with the most others in reach goes first. A tight cell holds what lies within theta / 2 of the common mean,
+    so that all of its vectors link; a loose one what surely links with all of the first row.
+    """
+    node, x, radius, _ = side_of(rows)
+    weight, vecs, space = rows["weight"].to_numpy(np.int64), rows["vec"].tolist(), rows["space"].iloc[0]
+    near = x @ x.T
+    near = near >= math.cos(theta) if tight else near >= np.cos(np.clip(theta - MARGIN - radius[:, None] - radius[None, :], 0, math.pi))
+    near |= np.eye(len(node), dtype=bool)
+    free = np.ones(len(node), bool)
+    degree = near.sum(1)
+    out = []
+    for i in np.argsort(-degree, kind="stable"):
+        if not free[i]:
+            continue
+        own = np.flatnonzero(near[i] & free) if degree[i] > 1 else np.array([i])
+        if len(own) > 1:
+            centre = (x[own] * weight[own, None]).sum(0).astype(np.float32) if tight else np.asarray(vecs[i], np.float32)
+            c = centre.astype(np.float64)
+            size = np.linalg.norm(c)
+            far = angle(x[own] @ (c / size)) + radius[own] if size else np.full(len(own), np.inf)
+            inside = far <= theta / 2 - MARGIN if tight else np.ones(len(own), bool)
+            if inside.sum() > 1:
+                kept = own[inside]
+                free[kept] = False
+                out.append((int(node[kept].min()), space, int(weight[kept].sum()), centre, float(far[inside].max()), node[kept]))
+            if not free[i]:
+                continue
+        free[i] = False
+        out.append((int(node[i]), space, int(weight[i]), np.asarray(vecs[i], np.float32), float(radius[i]), node[i : i + 1]))
+    return out
+
+
+def cells(nodes: DataFrame, theta: float, bits: int, passes: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Cells of the nodes (as nodes with a radius), and ``(member, node)``: which node lies in which cell.
+
+    Each pass forms cells among neighbours in one hyperplane order, then cells of cells in another; the last one forms
+    loose ones. The radius is a bound by the triangle inequality. A cell is connected by its own links. Any division
+    into such cells gives the same links; passes only make them larger.
+    """
+    tight = [turn < passes for turn in range(passes + 1)]
+
+    def form(narrow: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names = ["node", "space", "weight", "vec", "radius", "members"]
+            for pdf in batches:
+                for at in range(0, len(pdf), BATCH):
+                    part = pdf.iloc[at : at + BATCH]
+                    yield pd.DataFrame([c for _, own in part.groupby("space", sort=False) for c in gather(own, theta, narrow)], columns=names)
+
+        return run
+
+    balls, home = nodes.select("node", "space", "weight", "vec", F.lit(0.0).alias("radius")), None
+    for turn, narrow in enumerate(tight):
+        made = cut(in_order(balls, 1, bits, seed + turn).select(*[c.split()[0] for c in BALL.split(", ")]).mapInPandas(form(narrow), f"{BALL}, members array<bigint>"))
+        step = made.select(F.explode("members").alias("member"), "node")
+        home = step if home is None else home.join(step.select(F.col("member").alias("node"), F.col("node").alias("to")), "node").select("member", F.col("to").alias("node"))
+        balls = made.drop("members")
+    return balls, cut(home)
+
+
+def first_graph(balls: DataFrame, tables: int, bits: int, k: int, least: float, seed: int) -> DataFrame:
+    """Edges among cells that lie next to each other in random hyperplane orders."""
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -75,76 +165,153 @@ def first_graph(nodes: DataFrame, tables: int, bits: int, k: int, least: float,
                 both = part if held is None else pd.concat([held, part])
                 held = part
                 for _, own in both.groupby(["space", "t"], sort=False):
-                    yield best(own["node"].to_numpy(), unit(own["vec"]), np.zeros(len(own), int), k, least)
+                    side = side_of(own)
+                    yield pairs_of(side, side, k, least)
+
+    return in_order(balls, tables, bits, seed).mapInPandas(near, EDGE)
+
 
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = nodes.select("node", "space", "vec").mapInPandas(keys, "space string, t int, code bigint, place double, node bigint, vec array<float>")
-    dealt = spread.repartitionByRange(n, "space", "t", "code", "place").sortWithinPartitions("space", "t", "code", "place")
-    return dealt.mapInPandas(near, EDGE)
+def nearest(edges: DataFrame, wide: DataFrame, k: int) -> DataFrame:
+    """Each cell's best edges, of both directions: k, or as many as its enlarged list ``(node, most)`` holds."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "gap")).groupBy("u", "v").agg(F.min("gap").alias("gap"))
+    order = Window.partitionBy("u").orderBy("gap", "v")
+    ranked = both.withColumn("r", F.row_number().over(order)).join(wide.withColumnRenamed("node", "u"), "u", "left")
+    return ranked.where(F.col("r") <= F.coalesce("most", F.lit(k))).select("u", "v", "gap")
 
 
-def nearest(edges: DataFrame, k: int) -> DataFrame:
-    """Each node's k best edges, of both directions."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")).groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    order = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    return both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+def refine(graph: DataFrame, balls: DataFrame, wide: DataFrame, k: int, least: float, asks: DataFrame | None = None) -> DataFrame:
+    """One round of neighbours of neighbours: every cell's list meets itself, and those that have the cell in their lists.
 
+    asks ``(via, node)`` takes the place of the latter, and lists don't meet themselves then. Who asks a much-listed
+    cell is dealt over several tasks, each with the whole list; a list is met in a stream, whoever asks.
+    """
 
-def refine(graph: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
-    """One round: at every node, its neighbours in both directions meet. A long list is met in parts, none left out."""
+    among = asks is None
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        key, listed, held = None, None, []
         for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            via = pdf["via"].to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], via[1:] != via[:-1]])) if len(via) else np.zeros(0, int)
-            done = starts[-1] if len(starts) and len(via) - starts[-1] < TILE else len(via)  # the last group may go on
-            rest = pdf.iloc[done:]
-            yield groups(pdf.iloc[:done])
-        if rest is not None and len(rest):
-            yield groups(rest)
-
-    def groups(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return _NONE
-        x, node, via = unit(pdf["vec"]), pdf["node"].to_numpy(), pdf["via"].to_numpy()
-        out, at = [], 0
-        ends = [*(np.flatnonzero(via[1:] != via[:-1]) + 1), len(via)]
-        for end in ends:
-            for a in range(at, end, TILE):
-                b = min(end, a + TILE)
-                out.append(best(node[a:b], x[a:b], np.zeros(b - a, int), k, least))
-            at = end
-        return pd.concat(out, ignore_index=True)
-
-    both = graph.select("u", "v").union(graph.select("v", "u")).distinct().toDF("via", "node")
-    both = both.union(both.select("via", F.col("via").alias("node")).distinct())
-    found = both.join(nodes.select("node", "vec"), "node").repartition("via").sortWithinPartitions("via", F.xxhash64("via", "node")).select("via", "node", "vec").mapInPandas(meet, EDGE)
-    return nearest(graph.unionByName(found), k)
-
-
-def tiles(members: DataFrame, threshold: float) -> DataFrame:
-    """``(node, links)`` by comparing whole groups ``(root, node, weight, vec)`` in tiles of about TILE rows a side."""
-    # written, so that a large group's join on its root can be split
-    sizes = cut(members.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")))
-    own = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "weight", "vec")
+            via, part, ask = (pdf[c].to_numpy() for c in ("via", "part", "asks"))
+            ends = np.flatnonzero((via[1:] != via[:-1]) | (part[1:] != part[:-1]) | (ask[1:] != ask[:-1])) + 1
+            for a, b in zip([0, *ends], [*ends, len(pdf)], strict=True):
+                own = pdf.iloc[a:b]
+                if not len(own):
+                    continue
+                here = (own["via"].iloc[0], own["part"].iloc[0])
+                if here != key:
+                    if held:
+                        yield from own_list(pd.concat(held))
+                    key, listed, held = here, None, []
+                if not own["asks"].iloc[0]:
+                    held.append(own)
+                    continue
+                if held:
+                    listed = pd.concat(held)
+                    yield from own_list(listed)
+                    held = []
+                if listed is not None:
+                    most = k if among else len(listed)
+                    y = side_of(listed)
+                    for at in range(0, len(own), TILE):
+                        yield pairs_of(side_of(own.iloc[at : at + TILE]), y, most, least)
+        if held:
+            yield from own_list(pd.concat(held))
+
+    def own_list(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if among and pdf["part"].iloc[0] == 0:
+            whole = side_of(pdf)
+            for at in range(0, len(pdf), TILE):
+                yield pairs_of(tuple(c[at : at + TILE] for c in whole), whole, k, least)
+
+    worst = graph.groupBy("u").agg(F.count("*").alias("n"), F.max("gap").alias("worst")).join(wide.withColumnRenamed("node", "u"), "u", "left")
+    worst = worst.select(F.col("u").alias("node"), F.when(F.col("n") >= F.coalesce("most", F.lit(k)), F.col("worst")).alias("worst"))
+    known = balls.select("node", "vec", "radius").join(worst, "node", "left")
+    listed = graph.select(F.col("u").alias("via"), F.col("v").alias("node"))
+    listed = listed.union(listed.select("via", F.col("via").alias("node")).distinct())
+    back = graph.select(F.col("v").alias("via"), F.col("u").alias("node")) if among else asks
+    parts = cut(back.groupBy("via").agg(F.ceil(F.count("*") / (4 * TILE)).cast("int").alias("parts")))
+    back = back.join(parts, "via").select("via", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"), "node")
+    listed = listed.join(parts, "via", "left" if among else "inner").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    rows = listed.select("via", "part", F.lit(False).alias("asks"), "node").union(back).join(known, "node")
+    met = rows.select("via", "part", "asks", "node", "vec", "radius", "worst").repartition("via", "part").sortWithinPartitions("via", "part", "asks", "node")
+    return nearest(graph.unionByName(met.mapInPandas(meet, EDGE)), wide, k)
+
+
+def enlarge(graph: DataFrame, balls: DataFrame, k: int, least: float, reach: float, rounds: int = 8) -> DataFrame:
+    """The graph with every list that is full of cells in reach made four times as long, until no list is full.
+
+    A full list's owner asks some of its neighbours for their whole lists, others every round, until nothing new in
+    reach turns up; only then are lists looked over again.
+    """
+    wide = graph.sparkSession.createDataFrame([], "node bigint, most int")
+    near = F.count_if(F.col("gap") <= reach + MARGIN)
+    for turn in range(64):
+        state = graph.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), near.alias("near")).join(wide, "node", "left")
+        full = cut(state.where((F.col("n") >= F.coalesce("most", F.lit(k))) & (F.col("near") == F.col("n"))).select("node", (4 * F.coalesce("most", F.lit(k))).alias("more")))
+        if full.isEmpty():
+            return graph
+        wide = cut(wide.join(full, "node", "full").select("node", F.coalesce("more", "most").cast("int").alias("most")))
+        for r in range(rounds):
+            before = graph.agg(near).first()[0]
+            own = graph.join(full.select(F.col("node").alias("u")), "u", "left_semi")
+            pick = Window.partitionBy("u").orderBy(F.xxhash64(F.lit(turn * rounds + r), "u", "v"))
+            asks = own.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= k).select(F.col("v").alias("via"), F.col("u").alias("node"))
+            after = cut(refine(graph, balls, wide, k, least, asks))
+            forget(graph)
+            graph = after
+            if graph.agg(near).first()[0] == before:
+                break
+    raise RuntimeError("neighbour lists did not settle")
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        a, b = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"node": np.empty(0, np.int64), "links": np.empty(0, np.int64)})
-        hit = unit(a["vec"]) @ unit(b["vec"]).T >= threshold
-        hit &= a["node"].to_numpy()[:, None] != b["node"].to_numpy()[None, :]
-        out = [(a["node"], hit @ b["weight"].to_numpy())]
-        if i != j:
-            out.append((b["node"], hit.T @ a["weight"].to_numpy()))
-        return pd.DataFrame({"node": np.concatenate([x for x, _ in out]), "links": np.concatenate([y for _, y in out])})
 
-    return own.groupBy("root", "i", "j").applyInPandas(count, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
+def counted(members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """``(member, a, b, links)`` of cell pairs ``(a, b)``, both directions given, by comparing members in blocks.
+
+    members: ``(member, node, weight, vec)``. A block is at most about TILE members against 4 * TILE others, so that no
+    cell is one task's work and only counts come out.
+    """
+    sizes = cut(members.groupBy("node").agg(F.count("*").alias("n")))
+    asked = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").groupBy("b").agg(F.sum("na").alias("asks"))
+    plan = cut(asked.join(sizes.withColumnRenamed("node", "b"), "b").select("b", F.ceil(F.col("n") / TILE).cast("int").alias("rows"), F.ceil(F.col("asks") / (4 * TILE)).cast("int").alias("cols")))
+    own = members.withColumnRenamed("node", "b").join(plan, "b")
+    own = own.select("b", F.pmod(F.xxhash64("member"), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(None).cast("bigint").alias("a"), "member", "weight", "vec")
+    ask = pairs.join(members.withColumnRenamed("node", "a"), "a").join(plan, "b")
+    ask = ask.select("b", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("member"), F.col("cols")).cast("int").alias("j"), "a", "member", "weight", "vec")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["a"].notna().to_numpy()
+        q, own = pdf[asks], pdf[~asks]
+        if not len(q) or not len(own):
+            return pd.DataFrame({"member": np.empty(0, np.int64), "a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "links": np.empty(0, np.int64)})
+        hit = unit(q["vec"]) @ unit(own["vec"]).T >= threshold
+        hit = (hit & (q["member"].to_numpy()[:, None] != own["member"].to_numpy()[None, :])) @ own["weight"].to_numpy(np.int64)
+        return pd.DataFrame({"member": q["member"], "a": q["a"].astype("int64"), "b": pdf["b"].iloc[0], "links": hit})[hit > 0]
+
+    return own.unionByName(ask).groupBy("b", "i", "j").applyInPandas(count, "member bigint, a bigint, b bigint, links bigint")
+
+
+def resolve(graph: DataFrame, balls: DataFrame, home: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``(node, links, component_id)`` of all nodes; links: the weight of other nodes linked directly."""
+    theta = math.acos(threshold)
+    size = balls.select("node", "radius", "weight")
+    near = graph.where(F.col("gap") <= theta + MARGIN).select("u", "v", "gap")
+    near = near.union(near.select("v", "u", "gap")).toDF("a", "b", "gap").groupBy("a", "b").agg(F.min("gap").alias("gap"))
+    near = near.join(size.toDF("a", "ra", "wa"), "a").join(size.toDF("b", "rb", "wb"), "b")
+    # gap: angle less radii; no member's angle is over gap plus twice the radii
+    near = cut(near.withColumn("sure", F.col("gap") + 2 * (F.col("ra") + F.col("rb")) <= theta - MARGIN).select("a", "b", "wb", "sure"))
+    members = home.join(nodes.select(F.col("node").alias("member"), "weight", "vec"), "member")
+    loose = F.col("radius") > theta / 2 - MARGIN / 2
+    unsure = near.where(~F.col("sure")).select("a", "b").union(balls.where(loose).select("node", "node"))
+    unsure = cut(counted(members, unsure, threshold))
+    linked = near.where("sure").select("a", "b").union(unsure.select("a", "b")).distinct()
+    roots = components(linked)
+    of_cell = near.where("sure").groupBy(F.col("a").alias("node")).agg(F.sum("wb").alias("sure"))
+    of_member = unsure.groupBy("member").agg(F.sum("links").alias("more"))
+    rooted = cut(balls.select("node", F.when(loose, 0).otherwise(F.col("weight")).alias("whole")).join(of_cell, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    each = cut(home.join(rooted, "node").join(of_member, "member", "left").join(nodes.select(F.col("node").alias("member"), "weight", "least_id"), "member"))
+    least = cut(each.groupBy("root").agg(F.min("least_id").alias("component_id")))  # written, so that a large component's join can be split
+    links = F.coalesce("sure", F.lit(0)) + F.coalesce("more", F.lit(0)) + F.when(F.col("whole") > 0, F.col("whole") - F.col("weight")).otherwise(0)
+    return each.join(least, "root").select(F.col("member").alias("node"), links.cast("long").alias("links"), "component_id")
 
 
 def exact_counts(nodes: DataFrame, sample: list, threshold: float) -> dict[int, int]:
@@ -175,62 +342,68 @@ def near_duplicates(
     tables: int = 12,
     rounds: int = 4,
     audit: int = 256,
-    recall: float = 0.995,
+    recall: float = 0.999,
     attempts: int = 3,
+    passes: int = 2,
     seed: int = 5,
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``: links between vectors of one label at cosine ``threshold`` or more.
 
     Rows whose vec_id, label or vector is null, empty, zero or not finite link with nothing (component_id is their own
-    vec_id); vectors of different length don't link. Equal vectors link with each other. Rows that share a vec_id are
-    one node. One row comes back for each row; other columns are ignored; an empty table gives no rows.
-    ``tables`` hyperplane orders are made an attempt; ``audit`` vectors are compared with all.
+    vec_id); vectors of different length don't link. Equal vectors link with each other. One row comes back for each
+    row: rows that share a vec_id are vectors of their own, whose links are counted each by itself. Other columns are
+    ignored; an empty table gives no rows. ``tables`` hyperplane orders are made an attempt; ``audit`` vectors are
+    compared with all, and RuntimeError is raised where less than ``recall`` of their links was found in every attempt.
     """
     given = vectors.select("vec_id", "label", "embedding")
     rows = cut(given.where(usable()).select("vec_id", F.concat_ws("/", F.col("label").cast("string"), F.size("embedding").cast("string")).alias("space"), F.col("embedding").cast("array<float>").alias("vec"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")))
     copies = ["space", "h1", "h2"]
-    nodes = cut(rows.groupBy(*copies).agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("vec").alias("vec")))
+    # a key of its own for every vector, fixed by being written
+    nodes = cut(rows.groupBy(*copies).agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"), F.first("vec").alias("vec")).withColumn("node", F.monotonically_increasing_id()))
     n, spaces = nodes.agg(F.count("*"), F.count_distinct("space")).first()
-    found = None
     if n:
-        bits = max(0, min(40, round(math.log2(max(1.0, n / spaces / 64)))))
-        sample = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(audit).collect()
-        truth = exact_counts(nodes, sample, threshold)
-        graph = None
-        for attempt in range(attempts):
-            fresh = nearest(first_graph(nodes, tables, bits, k, least, seed + attempt), k)
-            graph = cut(fresh if graph is None else nearest(graph.unionByName(fresh), k))
-            for _ in range(rounds):
-                after = cut(refine(graph, nodes, k, least))
-                new = after.join(graph, ["u", "v"], "left_anti").count()
-                graph = after
-                if new <= 0.001 * max(1, graph.count()):
-                    break
-            found = cut(_resolve(graph, nodes, threshold, k))
-            own = {r["node"]: r["links"] for r in found.where(F.col("node").isin([r["node"] for r in sample])).select("node", "links").collect()}
-            if sum(min(own.get(x, 0), t) for x, t in truth.items()) >= recall * sum(truth.values()):
-                break
-    if found is None:
-        out = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        found = _search(nodes, n / spaces, threshold, k, least, tables, rounds, audit, recall, attempts, passes, seed)
+        out = rows.select("vec_id", *copies).join(nodes.select("node", "weight", *copies), copies).join(found, "node").select("vec_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id")
     else:
-        out = rows.select("vec_id", *copies).join(nodes.drop("vec"), copies).join(found, "node").select("vec_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id")
+        out = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     other = given.where(~usable())
     out = out.unionByName(other.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _resolve(graph: DataFrame, nodes: DataFrame, threshold: float, k: int) -> DataFrame:
-    """``(node, links, component_id)`` of all nodes from the graph's threshold edges; full lists are enlarged."""
-    links = cut(graph.where(F.col("sim") >= threshold))
-    both = links.select("u", "v").union(links.select("v", "u")).distinct()
-    counted = both.join(nodes.select(F.col("node").alias("v"), "weight"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("weight").alias("listed"))
-    roots = cut(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
-    full = links.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    wide = cut(roots.join(full, "node").select("root").distinct())
-    widened = tiles(roots.join(wide, "root", "left_semi").join(nodes.select("node", "weight", "vec"), "node"), threshold)
-    least = cut(roots.groupBy("root").agg(F.min("node").alias("component_id")))
-    own = nodes.select("node").join(counted, "node", "left").join(widened, "node", "left").join(roots.join(least, "root").select("node", "component_id"), "node", "left")
-    return own.select("node", F.coalesce("links", "listed", F.lit(0)).cast("long").alias("links"), F.coalesce("component_id", "node").alias("component_id"))
+def _search(nodes, dense, threshold, k, least, tables, rounds, audit, recall, attempts, passes, seed) -> DataFrame:
+    theta = math.acos(threshold)
+    bits = max(0, min(40, round(math.log2(max(1.0, dense / 64)))))
+    balls, home = cells(nodes, theta, max(0, bits - 3), passes, seed + 100)
+    plain = nodes.sparkSession.createDataFrame([], "node bigint, most int")
+    graph, share = None, 0.0
+    for attempt in range(attempts):
+        fresh = nearest(first_graph(balls, tables, bits, k, least, seed + attempt), plain, k)
+        graph = cut(fresh if graph is None else nearest(graph.unionByName(fresh), plain, k))
+        for _ in range(rounds):
+            after = cut(refine(graph, balls, plain, k, least))
+            new = after.join(graph, ["u", "v"], "left_anti").count()
+            forget(graph)
+            graph = after
+            if new <= 0.001 * max(1, graph.count()):
+                break
+        graph = enlarge(graph, balls, k, least, theta)
+        found = cut(resolve(graph, balls, home, nodes, threshold))
+        share = audited(nodes, found, threshold, audit, seed)
+        if share >= recall:
+            return found
+    raise RuntimeError(f"only {share:.4f} of the sampled vectors' links were found")
+
+
+def audited(nodes: DataFrame, found: DataFrame, threshold: float, audit: int, seed: int) -> float:
+    """The share of a bounded sample's links that were found; half of the sample is of vectors known to have links."""
+    by_hash = [F.xxhash64(F.lit(seed), "node"), "node"]
+    some = nodes.select("node").orderBy(*by_hash).limit(audit // 2).union(found.where("links > 0").select("node").orderBy(*by_hash).limit(audit // 2)).distinct()
+    asked = [r["node"] for r in some.collect()]
+    truth = exact_counts(nodes, nodes.where(F.col("node").isin(asked)).select("node", "space", "vec").collect(), threshold)
+    own = {r["node"]: r["links"] for r in found.where(F.col("node").isin(asked)).select("node", "links").collect()}
+    every = sum(truth.values())
+    return sum(min(own.get(x, 0), t) for x, t in truth.items()) / every if every else 1.0
 
 
 def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
