@@ -43,8 +43,9 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
 
     Reads ``doc_id, text, source``; returns ``doc_id, source, size, source_size, target, copies, taken`` and the carried
     columns. ``copies`` is 0 up to ``most``; ``taken = copies * size``. A null text has size 0; a null source is a source
-    of its own, last in order; rows with equal doc_id share one hash and so one decision. Other columns are ignored.
-    An empty table gives no rows. A source's words miss its target by half of one small hash bucket at most.
+    of its own, last in order; rows with equal doc_id share one hash and so one decision. A document without words gives
+    no words, however often it is taken, and is taken ``most`` times at most like any other; a source of such documents
+    alone is taken once. Other columns are ignored. An empty table gives no rows. A source's words miss its target by half of one small hash bucket at most.
     """
     own = docs.select("doc_id", "source", *carry, F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), doc_hash(F.col("doc_id")).alias("h"))
     own = own.withColumn("b1", F.shiftright("h", 60 - BITS)).withColumn("b2", F.shiftright("h", 60 - 2 * BITS).bitwiseAND((1 << BITS) - 1))
@@ -56,7 +57,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     # first level: buckets that fit whole, and the one in which the budget ends
     by = Window.partitionBy("source").orderBy("b1").rowsBetween(Window.unboundedPreceding, 0)
     first = hist.withColumn("upto", F.sum("n").over(by)).withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    first = first.withColumn("whole", F.col("upto") <= F.col("extra")).withColumn("edge", ~F.col("whole") & (F.col("upto") - F.col("n") < F.col("extra")))
+    # where the source is at its cap nothing is added, not even documents without words
+    first = first.withColumn("whole", (F.col("upto") <= F.col("extra")) & (F.col("base") + 1 <= most)).withColumn("edge", ~F.col("whole") & (F.col("upto") - F.col("n") < F.col("extra")))
     first = cut(first.select(F.col("source").alias("s1"), F.col("b1").alias("k1"), "source_size", "target", "base", "whole", "edge", (F.col("extra") - F.col("upto") + F.col("n")).alias("rest")))
     same = F.col("source").eqNullSafe(F.col("s1")) & (F.col("b1") == F.col("k1"))
     # second level: only the documents of boundary buckets are summed again
