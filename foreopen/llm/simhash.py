@@ -41,19 +41,22 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(width: int):
+def _fingerprints(width: int, carry: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": [fingerprint(t, width) for t in pdf["text"]]})
+            out = pdf[["doc_id", *carry]].copy()
+            out["fp"] = [fingerprint(t, width) for t in pdf["raw"]]
+            yield out
 
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``(doc_id, fp long)`` of whole texts."""
+def fingerprints(docs: DataFrame, width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp long)`` of whole texts, and carried columns."""
     small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(_fingerprints(width), f"doc_id {kind}, fp bigint")
+    kind = dict(docs.dtypes)
+    own = "".join(f"`{c}` {kind[c]}, " for c in ("doc_id", *carry))
+    return docs.select("doc_id", *carry, F.col("text").cast("binary").alias("raw")).mapInPandas(_fingerprints(width, list(carry)), own + "fp bigint")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -67,20 +70,41 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``(doc_id, fp, component_id)``: component_id is the smallest doc_id reachable over links of 3 bits or fewer.
+def near_duplicates(docs: DataFrame, width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp, root, component_id)`` and carried columns, a row for each row.
+
+    component_id is the smallest doc_id reachable over links of 3 bits or fewer; root is one fingerprint of the group,
+    the same for all of its rows. A fingerprint asks 26 cells of each half, and cells fill in proportion to the number
+    of fingerprints: about 3.6e-6 N candidates each, checked in the join and never written.
 
     Null, empty and blank texts have fingerprint 0 and link like any other. A row with null doc_id takes part and gets
     its group's smallest id (null if the group has no id). Repeated rows fall together. Other columns are ignored; an
     empty table gives no rows. Copies meet as one fingerprint; whole texts are read.
     """
-    marks = cut(fingerprints(docs, width))
+    marks = cut(fingerprints(docs, width, carry))
     nodes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     groups = components(links(nodes.select("fp")))
     rooted = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # written, so that a large component's join on its root can be split
     least = cut(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    return marks.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
+    return marks.join(cut(rooted.select("fp", "root").join(least, "root")), "fp").select("doc_id", *carry, "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One row of each group of near copies, with all of its columns: the smallest doc_id, nulls after all others.
+
+    Rows of one id with different texts are documents of their own; of rows equal in all columns one stays. A row
+    without id stays where its group has no row with one. Texts that are null or blank are one group. An empty table
+    gives no rows.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    digest = F.md5(F.concat_ws("/", F.coalesce(F.md5("text"), F.lit("null")), F.to_json(F.struct(*rest))))
+    marked = docs.withColumn("_digest", digest)
+    found = near_duplicates(marked.select("doc_id", "text", "_digest"), width, carry=("_digest",))
+    # nulls sort first, so that a flag before the id puts them last
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("_digest").alias("_digest"))).alias("m"))
+    kept = marked.join(first.select(F.col("m._digest").alias("_digest")).distinct(), "_digest", "left_semi")
+    return kept.dropDuplicates(["_digest"]).drop("_digest")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
