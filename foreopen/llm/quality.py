@@ -1,9 +1,9 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are hashed pairs of neighbouring bytes and bands of a text's shape (how many of its words are distinct, repeat the
-word before, are capitals, hold symbols). A truncated SVD of labelled texts' weighted terms gives the space; the
-labelled vectors (a bounded number) are broadcast. Every text's cosine with all of them is computed in blocks; the
-nearest vote with weights that grow with their similarity.
+Terms are hashed pairs of neighbouring bytes, runs of four characters with letters, capitals and digits each taken as
+one, and pairs of neighbouring words known by their lengths and whether they are the same word. A truncated SVD of labelled texts' weighted terms gives the space; the labelled vectors (a bounded number) are
+broadcast. Every text's cosine with all of them is computed in blocks; the nearest vote with weights that grow with
+their similarity.
 """
 
 from __future__ import annotations
@@ -19,44 +19,47 @@ from foreopen.llm.common import read, small_batches
 from foreopen.llm.langid import held_out
 
 PAIRS = 2048
-BANDS = 12
-SHAPES = 4
-TERMS = PAIRS + BANDS * SHAPES
-_PAIR = ((np.arange(65536, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)).astype(np.int64)
-_SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,'")
+RUNS = 2048
+WORDS = 512
+TERMS = PAIRS + RUNS + WORDS
+_PLACE = ((np.arange(65536, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)).astype(np.int64)
+
+
+def _kinds() -> np.ndarray:
+    """Sixteen kinds of bytes: letters (all bytes of other scripts among them), capitals, digits, blanks, line feeds, marks."""
+    kinds = np.zeros(256, np.int64)
+    for b in range(128):
+        c = chr(b)
+        kinds[b] = 1 if c.isupper() else 0 if c.isalpha() else 2 if c.isdigit() else 4 if c == "\n" else 3 if c.isspace() else 5 if c in ".,'" else 6 + b % 10
+    return kinds
+
+
+_KIND = _kinds()
 
 
 def terms(text: bytes) -> np.ndarray:
-    """Term weights of one whole text, unit length in pairs and in shapes; zeros without any byte."""
+    """Term weights of one whole text, each kind of unit length; zeros for fewer bytes than a term has."""
     out = np.zeros(TERMS, np.float32)
-    if not text:
-        return out
     raw = np.frombuffer(text, np.uint8).astype(np.int64)
-    if len(raw) > 1:
-        counts = np.zeros(PAIRS)
-        for at in range(0, len(raw) - 1, 1 << 20):
-            part = raw[at : at + (1 << 20) + 1]
-            counts += np.bincount(_PAIR[part[:-1] * 256 + part[1:]], minlength=PAIRS)
-        counts = np.sqrt(counts)
-        out[:PAIRS] = counts / np.sqrt((counts**2).sum())
+    pairs, runs = np.zeros(65536), np.zeros(65536)
+    for at in range(0, len(raw) - 1, 1 << 20):
+        part = raw[at : at + (1 << 20) + 1]
+        pairs += np.bincount(part[:-1] * 256 + part[1:], minlength=65536)
+        k = _KIND[raw[at : at + (1 << 20) + 3]]
+        if len(k) > 3:
+            two = k[:-1] * 16 + k[1:]
+            runs += np.bincount(two[:-2] * 256 + two[2:], minlength=65536)
+    for first, counts, size in ((0, pairs, PAIRS), (PAIRS, runs, RUNS)):
+        folded = np.sqrt(np.bincount(_PLACE, counts, minlength=size))
+        norm = np.sqrt((folded**2).sum())
+        if norm:
+            out[first : first + size] = folded / norm
     words = text.split()
-    n = max(1, len(words))
-    letters = max(1, int((((raw | 32) >= 97) & ((raw | 32) <= 122)).sum()))
-    capitals = int(((raw >= 65) & (raw <= 90)).sum())
-    symbols = len(text) - len(text.translate(None, _SYMBOLS))
-    shape = (
-        len(set(words)) / n,
-        sum(map(bytes.__eq__, words, words[1:])) / n,
-        min(1.0, capitals / letters),
-        min(1.0, symbols / n),
-    )
-    for k, x in enumerate(shape):
-        place = x * (BANDS - 1)
-        low = int(place)
-        out[PAIRS + k * BANDS + low] += 1 - (place - low)
-        if place > low:
-            out[PAIRS + k * BANDS + low + 1] += place - low
-    out[PAIRS:] /= np.sqrt((out[PAIRS:] ** 2).sum())
+    if len(words) > 1:
+        size = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 15)
+        same = np.fromiter(map(bytes.__eq__, words, words[1:]), bool, len(words) - 1)
+        counts = np.sqrt(np.bincount((same * 16 + size[:-1]) * 16 + size[1:], minlength=WORDS))
+        out[PAIRS + RUNS :] = counts / np.sqrt((counts**2).sum())
     return out
 
 
@@ -117,8 +120,9 @@ def fit(texts: DataFrame, marks: DataFrame, per_label: int = 1200, max_bytes: in
     chance = F.xxhash64(F.lit("quality"), "key").bitwiseAND((1 << 30) - 1) / float(1 << 30)
     picked = marks.where(chance < F.element_at(rate, F.col("quality"))).orderBy("key").limit(4 * per_label)
     usable = texts.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    rows = usable.join(F.broadcast(picked), "key").select("key", "quality", F.col("text").cast("binary").alias("text")).limit(8 * per_label).collect()
-    rows.sort(key=lambda r: (r["key"], bytes(r["text"])))
+    # of texts that share a key the least counts, so that no more rows come back than keys were picked
+    rows = usable.join(F.broadcast(picked), "key").groupBy("key", "quality").agg(F.min(F.col("text").cast("binary")).alias("text")).collect()
+    rows.sort(key=lambda r: r["key"])
     return Votes([bytes(r["text"]) for r in rows], [r["quality"] for r in rows]) if rows else None
 
 
