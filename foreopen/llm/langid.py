@@ -118,7 +118,8 @@ def predict(net: dict, langs: list[str], length: int, texts: list[bytes], made:
 def fit(labelled: DataFrame, length: int = 256, per_class: int = 1500, max_classes: int = 200) -> tuple[dict, list[str]] | None:
     """Train on ``(key, text, lang)``: one window of about per_class texts a language, chosen by hash.
 
-    At most ``per_class * 2 * max_classes`` windows of ``length`` bytes reach the driver. None if nothing is labelled.
+    At most ``per_class * 2 * max_classes`` windows of ``length`` bytes reach the driver; of more than ``max_classes``
+    languages the most frequent are learnt, and the others are never predicted. None if nothing is labelled.
     """
     usable = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_classes).collect()}
@@ -128,7 +129,8 @@ def fit(labelled: DataFrame, length: int = 256, per_class: int = 1500, max_class
     chance = (F.xxhash64(F.lit("sample"), "key").bitwiseAND((1 << 30) - 1) / float(1 << 30)).alias("chance")
     picked = usable.where(chance < F.element_at(rate, F.col("lang"))).withColumn("raw", F.col("text").cast("binary"))
     begin = F.pmod(F.xxhash64(F.lit("place"), "key"), F.greatest(F.lit(1), F.octet_length("raw") - length + 1)).cast("int") + 1
-    rows = picked.select("lang", F.substring("raw", begin, F.lit(length)).alias("w")).limit(2 * per_class * len(counts)).collect()
+    window = F.substring("raw", begin, F.lit(length)).alias("w")
+    rows = picked.select("lang", window, chance).orderBy("chance", "lang", "w").limit(2 * per_class * len(counts)).collect()
     langs = sorted(counts)
     rows.sort(key=lambda r: (r["lang"], bytes(r["w"])))
     x = np.frombuffer(b"".join(bytes(r["w"]).ljust(length, b"\0") for r in rows), np.uint8).reshape(-1, length)
