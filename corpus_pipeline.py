@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foreopen.llm import langid, line_dedup, mixing, pieces, simhash
+from foreopen.llm.common import remove, shared_folder
 
 REST = ("lang", "source", "n_chars")
 COLUMNS = ("doc_id", "text", *REST)
@@ -29,21 +29,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies; rows without id go only with a group that has one."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*COLUMNS)
+    """One document of each group of near copies: the smallest id's; one without id where the whole group has none."""
+    return simhash.one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice; documents without words likewise."""
     taken = mixing.mix(docs, carry=("text", "lang", "n_chars"))
     return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each text."""
+    """Piece ids of each text, with their number: none for an empty text, null for a null one."""
     return pieces.encode(docs, carry=("source",)).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
@@ -53,11 +50,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet under the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foreopen-")
-    out = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each is written as Parquet under the shared folder and read again.
+
+    What a stage wrote is deleted once the next one has been written.
+    """
+    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    out, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
+        path = f"{base}/{k}-{name}"
         stage(spark, out, sf_dir).write.parquet(path)
         out = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return out
