@@ -171,15 +171,22 @@ def first_graph(balls: DataFrame, tables: int, bits: int, k: int, least: float,
     return in_order(balls, tables, bits, seed).mapInPandas(near, EDGE)
 
 
-def nearest(edges: DataFrame, wide: DataFrame, k: int) -> DataFrame:
-    """Each cell's best edges, of both directions: k, or as many as its enlarged list ``(node, most)`` holds."""
+def nearest(edges: DataFrame, wide: DataFrame | None, k: int) -> DataFrame:
+    """Each cell's best edges, of both directions: k, or as many as its enlarged list ``(node, most)`` holds.
+
+    ``worst`` is a full list's largest gap, null for one that holds more yet.
+    """
+    edges = edges.select("u", "v", "gap")
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "gap")).groupBy("u", "v").agg(F.min("gap").alias("gap"))
     order = Window.partitionBy("u").orderBy("gap", "v")
-    ranked = both.withColumn("r", F.row_number().over(order)).join(wide.withColumnRenamed("node", "u"), "u", "left")
-    return ranked.where(F.col("r") <= F.coalesce("most", F.lit(k))).select("u", "v", "gap")
+    ranked = both.withColumn("r", F.row_number().over(order))
+    most = F.lit(k)
+    if wide is not None:
+        ranked, most = ranked.join(wide.withColumnRenamed("node", "u"), "u", "left"), F.coalesce("most", F.lit(k))
+    return ranked.where(F.col("r") <= most).select("u", "v", "gap", F.when(F.col("r") == most, F.col("gap")).alias("worst"))
 
 
-def refine(graph: DataFrame, balls: DataFrame, wide: DataFrame, k: int, least: float, asks: DataFrame | None = None) -> DataFrame:
+def refine(graph: DataFrame, balls: DataFrame, wide: DataFrame | None, k: int, least: float, asks: DataFrame | None = None) -> DataFrame:
     """One round of neighbours of neighbours: every cell's list meets itself, and those that have the cell in their lists.
 
     asks ``(via, node)`` takes the place of the latter, and lists don't meet themselves then. Who asks a much-listed
@@ -223,9 +230,7 @@ def refine(graph: DataFrame, balls: DataFrame, wide: DataFrame, k: int, least: f
             for at in range(0, len(pdf), TILE):
                 yield pairs_of(tuple(c[at : at + TILE] for c in whole), whole, k, least)
 
-    worst = graph.groupBy("u").agg(F.count("*").alias("n"), F.max("gap").alias("worst")).join(wide.withColumnRenamed("node", "u"), "u", "left")
-    worst = worst.select(F.col("u").alias("node"), F.when(F.col("n") >= F.coalesce("most", F.lit(k)), F.col("worst")).alias("worst"))
-    known = balls.select("node", "vec", "radius").join(worst, "node", "left")
+    known = balls.select("node", "vec", "radius").join(graph.where("worst is not null").select(F.col("u").alias("node"), "worst"), "node", "left")
     listed = graph.select(F.col("u").alias("via"), F.col("v").alias("node"))
     listed = listed.union(listed.select("via", F.col("via").alias("node")).distinct())
     back = graph.select(F.col("v").alias("via"), F.col("u").alias("node")) if among else asks
@@ -234,7 +239,7 @@ def refine(graph: DataFrame, balls: DataFrame, wide: DataFrame, k: int, least: f
     listed = listed.join(parts, "via", "left" if among else "inner").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     rows = listed.select("via", "part", F.lit(False).alias("asks"), "node").union(back).join(known, "node")
     met = rows.select("via", "part", "asks", "node", "vec", "radius", "worst").repartition("via", "part").sortWithinPartitions("via", "part", "asks", "node")
-    return nearest(graph.unionByName(met.mapInPandas(meet, EDGE)), wide, k)
+    return nearest(graph.select("u", "v", "gap").unionByName(met.mapInPandas(meet, EDGE)), wide, k)
 
 
 def enlarge(graph: DataFrame, balls: DataFrame, k: int, least: float, reach: float, rounds: int = 8) -> DataFrame:
@@ -243,23 +248,27 @@ def enlarge(graph: DataFrame, balls: DataFrame, k: int, least: float, reach: flo
     A full list's owner asks some of its neighbours for their whole lists, others every round, until nothing new in
     reach turns up; only then are lists looked over again.
     """
-    wide = graph.sparkSession.createDataFrame([], "node bigint, most int")
+    wide, size = None, F.lit(k)
     near = F.count_if(F.col("gap") <= reach + MARGIN)
     for turn in range(64):
-        state = graph.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), near.alias("near")).join(wide, "node", "left")
-        full = cut(state.where((F.col("n") >= F.coalesce("most", F.lit(k))) & (F.col("near") == F.col("n"))).select("node", (4 * F.coalesce("most", F.lit(k))).alias("more")))
+        state = graph.groupBy(F.col("u").alias("node")).agg(F.count("worst").alias("at_end"), F.max("worst").alias("worst"))
+        state = state.where((F.col("at_end") > 0) & (F.col("worst") <= reach + MARGIN))
+        if wide is not None:
+            state, size = state.join(wide, "node", "left"), F.coalesce("most", F.lit(k))
+        full = cut(state.select("node", (4 * size).cast("int").alias("more")))
         if full.isEmpty():
             return graph
-        wide = cut(wide.join(full, "node", "full").select("node", F.coalesce("more", "most").cast("int").alias("most")))
+        wide = cut(full.withColumnRenamed("more", "most") if wide is None else wide.join(full, "node", "full").select("node", F.coalesce("more", "most").alias("most")))
+        found = graph.agg(near).first()[0]
         for r in range(rounds):
-            before = graph.agg(near).first()[0]
             own = graph.join(full.select(F.col("node").alias("u")), "u", "left_semi")
             pick = Window.partitionBy("u").orderBy(F.xxhash64(F.lit(turn * rounds + r), "u", "v"))
             asks = own.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= k).select(F.col("v").alias("via"), F.col("u").alias("node"))
             after = cut(refine(graph, balls, wide, k, least, asks))
             forget(graph)
-            graph = after
-            if graph.agg(near).first()[0] == before:
+            graph, before = after, found
+            found = graph.agg(near).first()[0]
+            if found == before:
                 break
     raise RuntimeError("neighbour lists did not settle")
 
@@ -375,13 +384,12 @@ def _search(nodes, dense, threshold, k, least, tables, rounds, audit, recall, at
     theta = math.acos(threshold)
     bits = max(0, min(40, round(math.log2(max(1.0, dense / 64)))))
     balls, home = cells(nodes, theta, max(0, bits - 3), passes, seed + 100)
-    plain = nodes.sparkSession.createDataFrame([], "node bigint, most int")
     graph, share = None, 0.0
     for attempt in range(attempts):
-        fresh = nearest(first_graph(balls, tables, bits, k, least, seed + attempt), plain, k)
-        graph = cut(fresh if graph is None else nearest(graph.unionByName(fresh), plain, k))
+        fresh = nearest(first_graph(balls, tables, bits, k, least, seed + attempt), None, k)
+        graph = cut(fresh if graph is None else nearest(graph.unionByName(fresh), None, k))
         for _ in range(rounds):
-            after = cut(refine(graph, balls, plain, k, least))
+            after = cut(refine(graph, balls, None, k, least))
             new = after.join(graph, ["u", "v"], "left_anti").count()
             forget(graph)
             graph = after
