@@ -6,6 +6,8 @@ is filtered before any window.
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def groups_of(columns: list[str]) -> list[str]:
 
 def daily_block(daily: DataFrame) -> DataFrame:
     """``symbol, date, close_d0, vol5, vol20, atr14, big_rate60, beta60`` from days up to each date."""
-    d = daily.withColumn("r", F.col("ret") * 100).withColumn("rm", S.loo_median(F.col("ret"), "date_et") * 100)
+    d = S.loo_median(daily.withColumn("r", F.col("ret") * 100), "rm", F.col("ret"), "date_et").withColumn("rm", F.col("rm") * 100)
     w = S.by("symbol", order="date_et")
     big = F.when(F.col("r").isNotNull(), (F.abs("r") >= 2.5).cast("double"))
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("prev_close")), F.abs(F.col("low") - F.col("prev_close"))) / F.col("close") * 100
@@ -93,7 +95,8 @@ def gaps(block: DataFrame, hours: DataFrame, calendar: DataFrame) -> DataFrame:
         }
     )
     floor = F.when(F.col("vol20").isNotNull(), F.greatest("vol20", F.lit(0.5)))
-    x = x.withColumns({"gap_rank": S.pct_rank(F.col("gap_pct"), "target"), "zgap": S.clip(F.col("gap_pct") / floor, -10.0, 10.0), "mkt_gap": S.loo_median(F.col("gap_pct"), "target")})
+    x = x.withColumns({"gap_rank": S.pct_rank(F.col("gap_pct"), "target"), "zgap": S.clip(F.col("gap_pct") / floor, -10.0, 10.0)})
+    x = S.loo_median(x, "mkt_gap", F.col("gap_pct"), "target")
     x = x.withColumn("resid_gap", F.col("gap_pct") - F.col("beta60") * F.col("mkt_gap")).drop("pre_last", "post_last")
     day = S.Window.partitionBy("target")  # the day's rows are together already
     return x.withColumns({name: c.over(day) for name, c in _regime().items()})
@@ -152,13 +155,16 @@ def news_block(news: DataFrame, calendar: DataFrame, symbols: DataFrame) -> Data
 def articles(news: DataFrame, calendar: DataFrame, symbols: DataFrame, aliases: DataFrame) -> DataFrame:
     """One row an article and symbol: its target day, keys, whether it is a template, and how it concerns the symbol.
 
-    aliases: ``(ticker, pattern)``. rel 0: tagged only; 1: named in the title; 2: no other company is named. Titles are
-    matched once each, against one pattern a company; a company's own name is looked up in the companies found.
+    aliases: ``(ticker, word, pattern)``, ``word`` the lower-case first word of what the pattern finds (several rows a
+    company, as ``text.company_names`` makes them). rel 0: tagged only; 1: named in the title; 2: no other company is
+    named. Titles are matched once each: their words meet the first words of names, and only those that meet are tried.
     """
     n = to_target(T.explode_symbols(news).join(symbols.select("symbol").distinct(), "symbol"), calendar)
     n = n.withColumn("title", T.clean_title(F.col("title")))
-    names = aliases.select("ticker", "pattern").distinct()
-    hits = n.select("title").distinct().join(F.broadcast(names.limit(20_000)), F.expr("title rlike pattern")).groupBy("title").agg(F.collect_set("ticker").alias("named"))
+    titles = n.select("title").distinct()
+    words = titles.select("title", F.explode(T.first_words(F.col("title"))).alias("word"))
+    hits = words.join(aliases.select("ticker", "word", "pattern").distinct(), "word").where(F.expr("title rlike pattern"))
+    hits = hits.groupBy("title").agg(F.collect_set("ticker").alias("named"))
     n = n.join(hits, "title", "left")
     own = F.coalesce(F.array_contains("named", F.col("symbol")), F.lit(False))
     count = F.coalesce(F.size("named"), F.lit(0))
@@ -187,16 +193,19 @@ def representatives(rows: DataFrame) -> DataFrame:
 def novelty(reps: DataFrame, back: int = NEWS_WINDOW) -> DataFrame:
     """``symbol, widx, novelty``: the most a title differs from all of the symbol's titles in the windows before.
 
-    Titles meet only where they share a word: words are rows with unit-length weights, and the cosine is a sum.
+    Titles meet only where they share a word in this block of windows or the one before: words are rows with unit-length
+    weights, and the cosine is a sum. What a frequent word costs grows with the windows looked back, not with history.
     """
     ids = reps.select("symbol", "widx", "ckey", "title")
     words = F.regexp_extract_all(F.lower("title"), F.lit(r"(?U)\b[a-z][a-z'&-]+\b"), F.lit(0))
     tf = ids.select("symbol", "widx", "ckey", F.explode(F.filter(words, lambda x: ~x.isin(T.STOPWORDS))).alias("word")).groupBy("symbol", "widx", "ckey", "word").agg(F.count("*").alias("n"))
     norm = tf.groupBy("symbol", "widx", "ckey").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("len"))
     w = tf.join(norm, ["symbol", "widx", "ckey"]).withColumn("w", F.col("n") / F.col("len")).select("symbol", "widx", "ckey", "word", "w")
-    past = w.select("symbol", F.col("widx").alias("widx0"), F.col("ckey").alias("ckey0"), "word", F.col("w").alias("w0"))
+    block = F.floor(F.col("widx") / back)
+    past = w.select("symbol", F.col("widx").alias("widx0"), F.col("ckey").alias("ckey0"), "word", F.col("w").alias("w0"), F.explode(F.array(block, block + 1)).alias("block"))
+    w = w.withColumn("block", block)
     near = (F.col("widx0") >= F.col("widx") - back) & (F.col("widx0") < F.col("widx"))
-    sims = w.join(past, ["symbol", "word"]).where(near).groupBy("symbol", "widx", "ckey", "widx0", "ckey0").agg(F.sum(F.col("w") * F.col("w0")).alias("cos"))
+    sims = w.join(past, ["symbol", "word", "block"]).where(near).groupBy("symbol", "widx", "ckey", "widx0", "ckey0").agg(F.sum(F.col("w") * F.col("w0")).alias("cos"))
     best = sims.groupBy("symbol", "widx", "ckey").agg(F.max("cos").alias("cos"))
     out = ids.select("symbol", "widx", "ckey").join(best, ["symbol", "widx", "ckey"], "left").groupBy("symbol", "widx").agg(F.max(1 - F.coalesce("cos", F.lit(0.0))).alias("novelty"))
     return out
@@ -236,8 +245,10 @@ def build_features(market, groups: list[str] | None = None, symbols: list[str] |
     """The panel ``symbol, date, target, close_d0, gap_fallback, gap_missing`` and the columns of the groups asked for.
 
     Only the blocks asked for are planned. The universe (``symbols``) is applied before any cross-sectional statistic.
-    Columns that a block has no row for are null; counts are 0.
+    Columns that a block has no row for are null; counts are 0. Text groups need aliases, and raise without them.
     """
+    if aliases is None and groups and any(g.startswith("txt") for g in groups):
+        raise ValueError("text groups need a table of company names (aliases)")
     groups = ["core", *[g for g in GROUPS if g != "core" and (groups is None or g in groups)]]
     calendar = market.calendar if targets is None else targets
     only = lambda t: t if symbols is None else t.where(F.col("symbol").isin(symbols))
@@ -256,21 +267,30 @@ def build_features(market, groups: list[str] | None = None, symbols: list[str] |
     return x.select("symbol", "date", "target", "close_d0", "gap_fallback", "gap_missing", *wanted)
 
 
-def day_features(market, target, groups: list[str] | None = None) -> DataFrame:
-    """The panel of one target day from tables cut at its cutoff, with bounded history: 100 daily bars, 30 news days.
+#: Days of history that a day's features can need: of bars (rolling windows of 60), and of news (20 windows, stories 5 more).
+BARS_BACK = 100
+NEWS_BACK = 45
 
-    Equals the batch panel's rows of the day, as no window is longer.
-    """
-    import copy
 
+def day_features(market, target, groups: list[str] | None = None, symbols: list[str] | None = None, aliases: DataFrame | None = None, lexicon: dict | None = None) -> DataFrame:
+    """The panel of one target day from tables cut at its cutoff, and at the history its windows can need.
+
+    Daily and hourly bars go back BARS_BACK trading days, news NEWS_BACK; no window of the batch panel is longer, so its
+    rows of the day are the same but for what counts whole windows of news: those need NEWS_BACK trading days of it.
+    """
     day = F.lit(target).cast("date")
     own = copy.copy(market)
     end = cutoff(day)
     known = market.calendar.where(F.col("target") <= day)
-    for name in ("daily", "price", "news", "earnings", "analyst"):
-        own.__dict__[name] = as_of(getattr(market, name), end)
-    own.__dict__["calendar"] = known
-    return build_features(own, groups).where(F.col("target") == day)
+    last = known.orderBy(F.desc("date")).select("date")
+    # the driver reads two days, the starts of the histories
+    bars = last.limit(BARS_BACK).agg(F.min("date").cast("timestamp_ntz")).first()[0]
+    news = last.limit(NEWS_BACK).agg(F.min("date").cast("timestamp_ntz")).first()[0]
+    since = {"daily": bars, "price": bars, "news": news, "earnings": news, "analyst": news}
+    for name, start in since.items():
+        own.__dict__[name] = as_of(getattr(market, name), end, start)
+    own.__dict__["calendar"] = known.where(F.col("date") >= F.lit(news).cast("date")) if news is not None else known
+    return build_features(own, groups, symbols, aliases=aliases, lexicon=lexicon).where(F.col("target") == day)
 
 
 def with_labels(panel: DataFrame, daily: DataFrame) -> DataFrame:

@@ -36,12 +36,12 @@ def test_as_of_edges(spark):
 
 def test_loo_median(spark):
     rows = [("d", s, v) for s, v in zip("abcdef", [1.0, 5.0, None, 2.0, 2.0, 9.0], strict=True)]
-    got = {r["s"]: r["m"] for r in frame(spark, rows, "d string, s string, x double").withColumn("m", S.loo_median(F.col("x"), "d", order="s")).collect()}
+    got = {r["s"]: r["m"] for r in S.loo_median(frame(spark, rows, "d string, s string, x double"), "m", F.col("x"), "d", order="s").collect()}
     values = {s: v for _, s, v in rows}
     for s, v in values.items():
         rest = [w for t, w in values.items() if w is not None and (t != s or v is None)]
         assert got[s] == float(np.median(rest))
-    few = frame(spark, rows[:3], "d string, s string, x double").withColumn("m", S.loo_median(F.col("x"), "d", order="s"))
+    few = S.loo_median(frame(spark, rows[:3], "d string, s string, x double"), "m", F.col("x"), "d", order="s")
     assert all(r["m"] is None for r in few.collect())
 
 
@@ -152,21 +152,43 @@ def test_groups():
 
 
 def test_ledger(tmp_path):
-    led = E.Ledger(str(tmp_path / "l.json"))
+    led = E.Ledger(str(tmp_path / "l.jsonl"))
     c = {"name": "a", "decision": "k"}
-    with pytest.raises(RuntimeError):
-        led.freeze("h", [c], {})
-    led.freeze("h", [c], {E.spec_hash(c): ["run"]})
-    with pytest.raises(RuntimeError):
-        led.open_run("h", [{**c, "decision": "4t"}])
-    with pytest.raises(RuntimeError):
-        led.allow_training("2027-01-01")
-    led.close_run(led.open_run("h", [c]), "out")
-    with pytest.raises(RuntimeError):
-        E.Ledger(led.path).open_run("h", [c])
-    led.close_run(led.open_run("h", [c], force=True), "out")
-    assert "again by force" in led.caveat()
-    led.allow_training("2027-01-01")
+    with pytest.raises(RuntimeError, match="development"):
+        led.register("h", [c], {})
+    with pytest.raises(RuntimeError, match="no plan"):
+        led.admit("h", [c])
+    led.register("h", [c], {E.spec_identity({**c, "name": "b", "seed": 4}): ["run"]})
+    with pytest.raises(RuntimeError, match="not as planned"):
+        led.admit("h", [{**c, "decision": "4t"}])
+    with pytest.raises(RuntimeError, match="held out"):
+        led.check_training("2027-01-01")
+    led.check_training("2026-01-01")
+    led.finish(led.admit("h", [c]), "out")
+    with pytest.raises(RuntimeError, match="force"):
+        E.Ledger(led.path).admit("h", [c])
+    with pytest.raises(RuntimeError, match="no plan is taken"):
+        led.register("h2", [c], {E.spec_identity(c): ["run"]})
+    led.finish(led.admit("h", [c], force=True), "out")
+    assert "again by force" in led.notes() and [e["kind"] for e in led.events()] == ["plan", "result", "result", "exposure"]
+    led.check_training("2027-01-01")
+
+
+def test_identity():
+    """Fixed values, so that a hash made today is found tomorrow; the order of keys doesn't count, that of lists does."""
+    assert E.identity({"a": 1, "b": {"c": [1, 2]}}) == E.identity({"b": {"c": [1, 2]}, "a": 1}) == "3d0662a85006"
+    assert E.identity({"a": [2, 1]}) != E.identity({"a": [1, 2]})
+    assert E.derive_seed(1, "model", "x", 0, "A") == 3245531778
+
+
+def test_recursion():
+    r = np.random.default_rng(1)
+    x = r.normal(size=1000)
+    want, v = [], 3.0
+    for y in x:
+        v = 0.1 * y + 0.9 * v
+        want.append(v)
+    assert S.recursion(x, 0.1, 3.0) == pytest.approx(np.array(want), abs=1e-12)
 
 
 def test_sources(spark, tmp_path):
