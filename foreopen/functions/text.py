@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +37,21 @@ EVENTS = {
     "prod": r"\b(?:launch\w*|unveil\w*|fda|approv\w+|clinical trial|patent|rollout|release[sd]? new)\b",
     "mgmt": r"\b(?:ceo|cfo|chief executive|resign\w*|steps? down|appoint\w*|succeed\w*|layoffs?|job cuts)\b",
 }
+VEC_TOKEN = r"\$?[A-Za-z]+(?:[.'&-][A-Za-z]+)*|\d+(?:[.,]\d+)*%?"
+NOT_TITLE = "[^a-z0-9]+"
+SOURCE_TAIL = r"\s+[-|–—]\s+[^-|–—]{1,40}$"
+CONTENT_WORD = r"[a-z][a-z'&-]+"
+CASHTAG = r"\$([A-Za-z]{1,5}(?:[./-][A-Za-z])?)\b"
+BARE_TICKER = r"\b([A-Z]{3,5}(?:[./-][A-Z])?)\b"
+HIDDEN_TAG = r"\$[A-Za-z]{1,5}(?:[.\-][A-Za-z])?\b"
+NUMBER = r"[-+−]?\d+(?:[.,]\d+)*%?"
 MONTHS = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 DATES = rf"\b{MONTHS}\.?\s*\d{{0,2}}(?:,?\s*\d{{4}})?\b|\b(?:19|20)\d{{2}}\b|\b\d{{1,2}}/\d{{1,2}}(?:/\d{{2,4}})?\b|\b(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day\b"
 
 
 def normal_title(title: Column) -> Column:
     """Lower-case letters and digits, everything else one blank."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), NOT_TITLE, " "))
 
 
 @F.pandas_udf(StringType())
@@ -53,7 +62,7 @@ def _unescape(s: pd.Series) -> pd.Series:
 def clean_title(title: Column) -> Column:
     """HTML entities decoded, a source of up to 40 characters after the last dash or bar cut off."""
     text = F.when(F.instr(title, "&") > 0, _unescape(title)).otherwise(F.coalesce(title, F.lit("")))
-    return F.trim(F.regexp_replace(text, r"\s+[-|–—]\s+[^-|–—]{1,40}$", ""))
+    return F.trim(F.regexp_replace(text, SOURCE_TAIL, ""))
 
 
 def title_id(title: Column) -> Column:
@@ -62,7 +71,7 @@ def title_id(title: Column) -> Column:
 
 def cluster_key(title: Column) -> Column:
     """Equal for titles of the same content words, whatever their order."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"[a-z][a-z'&-]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(CONTENT_WORD), F.lit(0))
     return F.md5(F.array_join(F.array_sort(F.array_distinct(F.array_except(words, F.array(*map(F.lit, STOPWORDS))))), " "))
 
 
@@ -84,6 +93,26 @@ def symbol_pattern(symbol: str, names: list[str] = ()) -> str:
     return "|".join(parts)
 
 
+def company_names(spark, names: dict[str, list[str]]) -> DataFrame:
+    """``(ticker, word, pattern)`` of companies and their names: a row for each first word that the pattern can begin with.
+
+    A table of companies, as large as its dictionary; keys that begin with ``_`` are remarks.
+    """
+    rows = set()
+    for ticker, own in names.items():
+        if not ticker.startswith("_"):
+            for name in (ticker, *own):
+                word = (re.findall("[a-z0-9]+", name.lower()) or [""])[0]
+                rows.add((ticker, word, symbol_pattern(ticker, list(own))))
+    return spark.createDataFrame(sorted(rows), "ticker string, word string, pattern string")
+
+
+def first_words(title: Column) -> Column:
+    """What a name in a title may begin with: runs of letters, with and without digits, and nothing (names in no ASCII)."""
+    runs = [F.regexp_extract_all(F.lower(title), F.lit(x), F.lit(0)) for x in ("[a-z]+", "[a-z0-9]+")]
+    return F.array_distinct(F.concat(*runs, F.array(F.lit(""))))
+
+
 def words_of(title: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), F.upper)
 
@@ -105,8 +134,8 @@ def mentions(body: Column) -> Column:
     """Tickers a text mentions: cashtags in any case, bare ones in capitals unless common or short; no repeats."""
     text = F.coalesce(body, F.lit(""))
     tidy = lambda x: F.regexp_replace(F.upper(x), "[./]", "-")
-    tags = F.transform(F.regexp_extract_all(text, F.lit(r"\$([A-Za-z]{1,5}(?:[./-][A-Za-z])?)\b"), F.lit(1)), tidy)
-    bare = F.transform(F.regexp_extract_all(text, F.lit(r"\b([A-Z]{3,5}(?:[./-][A-Z])?)\b"), F.lit(1)), tidy)
+    tags = F.transform(F.regexp_extract_all(text, F.lit(CASHTAG), F.lit(1)), tidy)
+    bare = F.transform(F.regexp_extract_all(text, F.lit(BARE_TICKER), F.lit(1)), tidy)
     return F.array_distinct(F.concat(tags, F.array_except(bare, F.array(*map(F.lit, COMMON_TICKERS)))))
 
 
@@ -117,7 +146,7 @@ def anonymize(text: Column, aliases: dict[str, list[str]], target: str | None =
     out = F.coalesce(text, F.lit(""))
     if target:
         out = F.regexp_replace(out, rf"(?i)\${re.escape(target)}\b", "[TARGET]")
-    out = F.regexp_replace(out, r"\$[A-Za-z]{1,5}(?:[.\-][A-Za-z])?\b", mark(False))
+    out = F.regexp_replace(out, HIDDEN_TAG, mark(False))
     for name in sorted({n for v in aliases.values() for n in v}, key=lambda n: (-len(n), n)):
         out = F.regexp_replace(out, rf"(?i)(?<!\w){re.escape(name)}(?:'s)?(?!\w)", mark(name in own))
     for ticker in sorted(aliases):
@@ -127,40 +156,82 @@ def anonymize(text: Column, aliases: dict[str, list[str]], target: str | None =
 
 def unknown_numbers(prompt: Column, text: Column) -> Column:
     """Numbers of a text that its prompt doesn't have, signs, separators and percent marks aside."""
-    number = F.lit(r"[-+−]?\d+(?:[.,]\d+)*%?")
+    number = F.lit(NUMBER)
     plain = lambda x: F.regexp_replace(F.regexp_replace(F.replace(F.replace(x, F.lit("−"), F.lit("-")), F.lit(","), F.lit("")), "%$", ""), r"^\++", "")
     have = F.transform(F.regexp_extract_all(prompt, number, F.lit(0)), plain)
     return F.filter(F.regexp_extract_all(text, number, F.lit(0)), lambda x: ~F.array_contains(have, plain(x)))
 
 
-def vectorizer(kind: str, column: str = "title", features: int = 1 << 18, lexicon: list[str] | None = None):
-    """An MLlib pipeline from a text column to ``features``, by name.
-
-    count_uni, tfidf_uni (sublinear), tfidf_bi (1 and 2 words), tfidf_char (3 to 5 characters within words), tfidf_stop
-    (without common words), tfidf_df (a word in 20 texts to half of them), lm_vocab (a lexicon's words), hashing.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, VectorAssembler
-
-    words = RegexTokenizer(inputCol=column, outputCol="_w", pattern=r"\b\w\w+\b", gaps=False)
-    idf = lambda col: [IDF(inputCol=col, outputCol="_i"), Normalizer(inputCol="_i", outputCol="features")]
-    if kind == "count_uni":
-        return Pipeline(stages=[words, CountVectorizer(inputCol="_w", outputCol="features", minDF=1.0)])
-    if kind in ("tfidf_uni", "tfidf_df", "tfidf_stop"):
-        low, high = (20.0, 0.5) if kind == "tfidf_df" else (1.0, float(1 << 62))
-        stop = [StopWordsRemover(inputCol="_w", outputCol="_s", stopWords=STOPWORDS)] if kind == "tfidf_stop" else []
-        return Pipeline(stages=[words, *stop, CountVectorizer(inputCol="_s" if stop else "_w", outputCol="_c", minDF=low, maxDF=high), *idf("_c")])
+def terms_of(kind: str, column: str) -> Column:
+    """The terms of a text that a vectorizer counts, repeats included."""
+    low = F.lower(F.coalesce(F.col(column), F.lit("")))
+    words = F.regexp_extract_all(low, F.lit(f"(?U){VEC_TOKEN}"), F.lit(0))
+    if kind == "tfidf_stop":
+        return F.filter(words, lambda w: ~w.isin([w for w in STOPWORDS if w not in NEGATORS]))
     if kind == "tfidf_bi":
-        return Pipeline(stages=[words, NGram(n=2, inputCol="_w", outputCol="_b"), CountVectorizer(inputCol="_w", outputCol="_c1"), CountVectorizer(inputCol="_b", outputCol="_c2"), VectorAssembler(inputCols=["_c1", "_c2"], outputCol="_c"), *idf("_c")])
+        pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(words, pairs)
     if kind == "tfidf_char":
-        grams = "flatten(transform(array(3, 4, 5), n -> flatten(transform(split(lower(%s), ' '), w -> transform(sequence(1, greatest(length(w) + 3 - n, 1)), i -> substring(concat(' ', w, ' '), i, n))))))" % column
-        return Pipeline(stages=[SQLTransformer(statement=f"select *, {grams} as _g from __THIS__"), CountVectorizer(inputCol="_g", outputCol="_c"), *idf("_c")])
-    if kind == "lm_vocab":
-        lits = ", ".join("'" + w.lower().replace("'", "") + "'" for w in lexicon or ["gain", "loss"])
-        return Pipeline(stages=[words, SQLTransformer(statement=f"select *, array_intersect(_w, array({lits})) as _l from __THIS__"), HashingTF(inputCol="_l", outputCol="features", numFeatures=1 << 14)])
-    if kind == "hashing":
-        return Pipeline(stages=[words, HashingTF(inputCol="_w", outputCol="_h", numFeatures=features), Normalizer(inputCol="_h", outputCol="features")])
-    raise ValueError(f"vectorizer: {kind}")
+        # runs of 3 to 5 characters within a word and its blanks; a word shorter than a run counts whole, once
+        padded = F.transform(F.filter(F.split(low, r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+        runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+        of = lambda w: F.concat(*[F.when((F.lit(n) == 3) | (F.length(w) >= n), runs(w, n)).otherwise(F.array().cast("array<string>")) for n in (3, 4, 5)])
+        return F.flatten(F.transform(padded, of))
+    return words
+
+
+#: Vectorizers by name: whether terms are weighted, and the least and most titles a term may be in where not given.
+VECTORIZERS = {"count_uni": (False, 5, 1.0), "tfidf_uni": (True, 5, 1.0), "tfidf_bi": (True, 5, 1.0), "tfidf_char": (True, 5, 1.0), "tfidf_stop": (True, 5, 1.0), "tfidf_df": (True, 20, 0.5), "lm_vocab": (False, 1, 1.0), "hashing": (False, 1, 1.0)}
+
+
+class Vectorizer:
+    """Sparse vectors of a text column, as ``features``.
+
+    count_uni: counts of words. tfidf_*: 1 + ln(count), times ln((1 + n) / (1 + df)) + 1, at length 1; of words, words and
+    pairs (bi), characters within words (char), words but common ones (stop), words neither rare nor common (df).
+    lm_vocab: counts of a given lexicon's words. hashing: hashed counts at length 1, nothing learnt.
+    A text that is null or has no known term is a vector of zeros. ``most`` bounds the vocabulary, the most frequent first.
+    """
+
+    def __init__(self, kind: str, column: str = "title", min_df: int | None = None, max_df: float | None = None, features: int = 1 << 18, lexicon: list[str] | None = None, most: int = 1 << 18):
+        if kind not in VECTORIZERS:
+            raise ValueError(f"vectorizer: {kind} is none of {', '.join(VECTORIZERS)}")
+        if kind == "lm_vocab" and not lexicon:
+            raise ValueError("lm_vocab needs the words of a lexicon")
+        weighted, low, high = VECTORIZERS[kind]
+        self.kind, self.column, self.weighted = kind, column, weighted
+        self.min_df, self.max_df = min_df or low, max_df or high
+        self.features, self.lexicon, self.most = features, lexicon, most
+        self.counts, self.idf = None, None
+
+    def fit(self, df: DataFrame) -> Vectorizer:
+        from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, HashingTF
+
+        rows = df.select(terms_of(self.kind, self.column).alias("_terms"))
+        if self.kind == "hashing":
+            self.counts = HashingTF(inputCol="_terms", outputCol="_n", numFeatures=self.features)
+        elif self.kind == "lm_vocab":
+            self.counts = CountVectorizerModel.from_vocabulary(sorted({w.lower() for w in self.lexicon}), inputCol="_terms", outputCol="_n")
+        else:
+            at_most = float(self.max_df) if self.max_df != 1.0 else float(1 << 62)
+            self.counts = CountVectorizer(inputCol="_terms", outputCol="_n", minDF=float(self.min_df), maxDF=at_most, vocabSize=self.most).fit(rows)
+        if self.weighted:
+            self.idf = (IDF(inputCol="_n", outputCol="_i").fit(self.counts.transform(rows)).idf.toArray() + 1.0).tolist()
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.feature import ElementwiseProduct, Normalizer
+        from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+
+        out = self.counts.transform(df.withColumn("_terms", terms_of(self.kind, self.column))).drop("_terms")
+        if self.weighted:
+            # MLlib has no logarithm of a sparse vector
+            log = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
+            out = ElementwiseProduct(inputCol="_l", outputCol="_w", scalingVec=Vectors.dense(self.idf)).transform(out.withColumn("_l", log("_n")))
+            return Normalizer(inputCol="_w", outputCol="features").transform(out).drop("_n", "_l", "_w")
+        if self.kind == "hashing":
+            return Normalizer(inputCol="_n", outputCol="features").transform(out).drop("_n")
+        return out.withColumnRenamed("_n", "features")
 
 
 def explode_symbols(news: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Scores and decision rules.
 
-Every search first reduces rows to counts by day-free value, label and outcome, and only then expands the grid: what a
-candidate costs does not depend on the number of rows. Ties go to the first candidate in grid order; a null score loses.
+Every search first lowers signals to the nearest place where some candidate would decide differently, counts rows by that
+place and label, and only then expands the grid: what a candidate costs does not depend on the number of rows. (Regimes
+scale a signal by the day, so theirs are counted by distinct value.) Ties go to the first candidate in grid order; a null
+score loses.
 """
 
 from __future__ import annotations
@@ -100,6 +102,24 @@ def compress(df: DataFrame, signal: str = "s", label: str = "label", *keys: str)
     return df.where(F.col(label).isNotNull()).groupBy(*keys, F.col(signal).alias("s"), F.col(label).alias("y")).agg(F.count("*").alias("o"))
 
 
+def lowered(x: Column, edges: Column) -> Column:
+    """The largest edge at or under x, minus infinity under all: ``lowered(x) >= e`` just where ``x >= e`` for every edge."""
+    low = F.array_max(F.filter(edges, lambda e: e <= x))
+    return F.when(x.isNotNull(), F.coalesce(low, F.lit(-math.inf)))
+
+
+def k_edges(grid: DataFrame) -> DataFrame:
+    """All places where some factor's class changes, as one row ``edges``; a grid is a few dozen rows."""
+    cuts = F.explode(F.array(*[F.lit(c) / F.col("k") for c in CUTS]))
+    return grid.select(cuts.alias("e")).agg(F.array_sort(F.collect_set("e")).alias("edges"))
+
+
+def by_edges(df: DataFrame, edges: DataFrame, signal: str, *keys: str, label: str = "label") -> DataFrame:
+    """``compress`` of a signal lowered to edges: at most (edges + 2) times 5 rows by keys."""
+    own = df.where(F.col(label).isNotNull()).crossJoin(F.broadcast(edges)).withColumn("s", lowered(F.col(signal).cast("double"), F.col("edges")))
+    return own.groupBy(*keys, "s", F.col(label).alias("y")).agg(F.count("*").alias("o"))
+
+
 def scan(rows: DataFrame, grid: DataFrame, pred: Column, *keys: str) -> DataFrame:
     """Score of every grid row: the grid (small, of fixed size) is broadcast, predictions are columns."""
     got = rows.crossJoin(F.broadcast(grid)).withColumn("q", pred).groupBy(*keys, *grid.columns, "y", "q").agg(F.sum("o").alias("o"))
@@ -115,7 +135,8 @@ def winner(scored: DataFrame, *keys: str, order: tuple[str, ...] = ("i",)) -> Da
 def fit_k(df: DataFrame, *keys: str, signal: str = "s") -> tuple[DataFrame, DataFrame]:
     """Scores of all factors, and the best."""
     spark = df.sparkSession
-    scored = scan(compress(df, signal, "label", *keys), k_grid(spark), k_rule(F.col("s"), F.col("k")), *keys)
+    grid = k_grid(spark)
+    scored = scan(by_edges(df, k_edges(grid), signal, *keys), grid, k_rule(F.col("s"), F.col("k")), *keys)
     return scored, winner(scored, *keys)
 
 
@@ -125,8 +146,9 @@ def fit_asym(df: DataFrame, signal: str = "s", **grid) -> DataFrame:
     The two sides share no rows, so counts are taken of each side and factor, and pairs are formed of counts alone.
     """
     spark = df.sparkSession
-    rows = compress(df, signal).withColumn("side", F.coalesce(F.col("s") >= 0, F.lit(True)))
     g = k_grid(spark, **grid)
+    edges = k_edges(g).select(F.array_sort(F.array_union("edges", F.array(F.lit(0.0)))).alias("edges"))
+    rows = by_edges(df, edges, signal).withColumn("side", F.coalesce(F.col("s") >= 0, F.lit(True)))
     part = rows.crossJoin(F.broadcast(g)).withColumn("q", k_rule(F.col("s"), F.col("k"))).groupBy("side", "i", "k", "y", "q").agg(F.sum("o").alias("o"))
     other = g.select(F.col("i").alias("j"), F.col("k").alias("k2"))
     up = part.where("side").crossJoin(F.broadcast(other)).select(F.col("i").alias("iu"), F.col("k").alias("k_up"), F.col("j").alias("id"), F.col("k2").alias("k_dn"), "y", "q", "o")
@@ -136,10 +158,11 @@ def fit_asym(df: DataFrame, signal: str = "s", **grid) -> DataFrame:
 
 def fit_sym2(df: DataFrame, signal: str = "s") -> DataFrame:
     """Best two thresholds on the size of s, among its quantiles from 5 % to 98 % in steps of 3 %."""
-    rows = compress(df, signal)
     levels = [round(0.05 + 0.03 * i, 3) for i in range(32)]
     size = F.abs(F.col(signal))
-    cuts = df.agg(F.percentile(size, F.array(*map(F.lit, levels))).alias("c")).select(F.posexplode(F.array_sort(F.array_distinct("c"))).alias("i", "a"))
+    cuts = df.agg(F.array_sort(F.array_distinct(F.percentile(size, F.array(*map(F.lit, levels))))).alias("c"))
+    rows = by_edges(df, cuts.select(F.array_sort(F.concat("c", F.transform("c", lambda e: -e))).alias("edges")), signal)
+    cuts = cuts.select(F.posexplode("c").alias("i", "a"))
     pairs = cuts.crossJoin(cuts.select(F.col("i").alias("j"), F.col("a").alias("b"))).where("i < j")
     s = F.col("s")
     return winner(scan(rows, pairs, by_bounds(s, [-F.col("b"), -F.col("a"), F.col("a"), F.col("b")])), order=("i", "j"))
@@ -186,21 +209,27 @@ def fit_four(df: DataFrame, signal: str = "s", levels: int = 80, passes: int = 3
 
 def decomposed(p_move: Column, p_ext: Column, p_up: Column, t_move: Column | float, t_ext: Column | float, c: Column | float = 0.0) -> Column:
     """Flat under t_move; else extreme from t_ext on (if the direction is at least c from even), else small."""
+    return _decomposed(p_move, p_ext, p_up >= 0.5, F.abs(p_up - 0.5), t_move, t_ext, c)
+
+
+def _decomposed(p_move: Column, p_ext: Column, up: Column, sure: Column, t_move, t_ext, c) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(float(x))
-    ext = (p_ext >= lit(t_ext)) & (F.abs(p_up - 0.5) >= lit(c))
-    up = p_up >= 0.5
+    ext = (p_ext >= lit(t_ext)) & (sure >= lit(c))
     return F.when(p_move < lit(t_move), 2).when(up & ext, 4).when(up, 3).when(ext, 0).otherwise(1)
 
 
 def fit_decomposed(df: DataFrame, gate: bool = False) -> DataFrame:
     """Best thresholds over quantiles of p_move and p_ext, and of the gate where asked for."""
     levels = F.array(*[F.lit(round(0.05 * i, 2)) for i in range(1, 20)])
-    q = df.agg(F.percentile("p_move", levels).alias("m"), F.percentile("p_ext", levels).alias("e"))
+    q = df.agg(F.array_sort(F.array_distinct(F.percentile("p_move", levels))).alias("m"), F.array_sort(F.array_distinct(F.percentile("p_ext", levels))).alias("e"))
     gates = [0.0, 0.05, 0.1, 0.15, 0.2, 0.3] if gate else [0.0]
-    grid = q.select(F.posexplode(F.array_sort(F.array_distinct("m"))).alias("i", "t_move"), "e").select("i", "t_move", F.posexplode(F.array_sort(F.array_distinct("e"))).alias("j", "t_ext"))
+    grid = q.select(F.posexplode("m").alias("i", "t_move"), "e").select("i", "t_move", F.posexplode("e").alias("j", "t_ext"))
     grid = grid.select("*", F.posexplode(F.array(*map(F.lit, gates))).alias("l", "c"))
-    rows = df.groupBy("p_move", "p_ext", "p_up", F.col("label").alias("y")).agg(F.count("*").alias("o"))
-    return winner(scan(rows, grid, decomposed(F.col("p_move"), F.col("p_ext"), F.col("p_up"), F.col("t_move"), F.col("t_ext"), F.col("c"))), order=("i", "j", "l"))
+    own = df.where("label is not null").crossJoin(F.broadcast(q))
+    own = own.select(lowered(F.col("p_move"), F.col("m")).alias("p_move"), lowered(F.col("p_ext"), F.col("e")).alias("p_ext"), (F.col("p_up") >= 0.5).alias("up"), lowered(F.abs(F.col("p_up") - 0.5), F.array(*map(F.lit, gates))).alias("sure"), F.col("label").alias("y"))
+    rows = own.groupBy(*own.columns).agg(F.count("*").alias("o"))
+    pred = _decomposed(F.col("p_move"), F.col("p_ext"), F.col("up"), F.col("sure"), F.col("t_move"), F.col("t_ext"), F.col("c"))
+    return winner(scan(rows, grid, pred), order=("i", "j", "l"))
 
 
 # regimes: the size of a signal scaled by the day's market
@@ -297,14 +326,73 @@ class Spec:
 
 SIGNALS = ("column", "regress", "classify5", "decomp")
 DECISIONS = ("flat", "identity", "k", "sym2", "asym", "4t", "decomp")
-REGIMES = ("none", "tercile", "linear")
+REGIMES = ("none", "tercile", "linear", "textclf")
+#: Where a text regime puts its probability of a big move.
+BIG = "_p_big"
+
+
+class BigMove:
+    """Probability that a row's move is extreme, from its titles or from columns: balanced logistic regression.
+
+    params: input ("text" or "columns"), vectorizer, min_df, max_df, lexicon, columns, C (inverse strength of the
+    penalty). Rows without titles have no probability; missing numbers are their column's median. Where all rows learnt
+    from are of one kind, or there are none, that share (or an even chance) is every row's probability.
+    """
+
+    def __init__(self, params: dict):
+        self.text = params.get("input", "text") == "text"
+        self.params, self.vectors, self.classifier, self.middle, self.share = params, None, None, {}, 0.5
+
+    def _inputs(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.feature import VectorAssembler
+
+        if self.text:
+            return self.vectors.transform(df)
+        names = list(self.middle)
+        filled = df.withColumns({f"_{c}": (F.coalesce(F.col(c).cast("double"), F.lit(m)) - F.lit(at)) / F.lit(sd) for c, (m, at, sd) in self.middle.items()})
+        return VectorAssembler(inputCols=[f"_{c}" for c in names], outputCol="features").transform(filled).drop(*[f"_{c}" for c in names])
+
+    def fit(self, df: DataFrame) -> BigMove:
+        from pyspark.ml.classification import LogisticRegression
+
+        df = df.where("label is not null")
+        if self.text:
+            from foreopen.functions.text import Vectorizer
+
+            df = df.where(F.length("titles_r1") > 0)
+            kept = {k: self.params[k] for k in ("min_df", "max_df", "lexicon") if k in self.params}
+            self.vectors = Vectorizer(self.params.get("vectorizer", "tfidf_uni"), "titles_r1", **kept).fit(df)
+        else:
+            for c in self.params["columns"]:
+                x = F.col(c).cast("double")
+                m = df.agg(F.median(x)).first()[0] or 0.0
+                at, sd = df.agg(F.avg(F.coalesce(x, F.lit(m))), F.stddev_pop(F.coalesce(x, F.lit(m)))).first()
+                self.middle[c] = (m, at or 0.0, sd or 1.0)
+        big = F.col("label").isin(0, 4).cast("double")
+        n, hits = df.agg(F.count("*"), F.sum(big)).first()
+        if not n or not 0 < hits < n:
+            self.share = hits / n if n else 0.5
+            return self
+        x = self._inputs(df).withColumn("_y", big).withColumn("_w", F.when(big == 1, F.lit(n / (2 * hits))).otherwise(F.lit(n / (2 * (n - hits)))))
+        penalty = 1.0 / (float(self.params.get("C", 1.0)) * n)
+        self.classifier = LogisticRegression(labelCol="_y", weightCol="_w", regParam=penalty, standardization=False, maxIter=200).fit(x)
+        return self
+
+    def values(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        if self.classifier is None:
+            return df.withColumn(BIG, F.when(F.length("titles_r1") > 0, self.share) if self.text else F.lit(self.share))
+        got = self.classifier.transform(self._inputs(df))
+        p = F.get(vector_to_array("probability"), F.lit(1))
+        return got.withColumn(BIG, F.when(F.length("titles_r1") > 0, p) if self.text else p).drop("features", "rawPrediction", "probability", "prediction")
 
 
 class Pipeline:
     """A spec fitted on a panel: signal (learned on early targets), then rule, then regime (tuned on late ones)."""
 
     def __init__(self, spec: Spec):
-        self.spec, self.state, self.model = spec.check(), {}, None
+        self.spec, self.state, self.model, self.big = spec.check(), {}, None, None
 
     def _assembled(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
@@ -338,10 +426,11 @@ class Pipeline:
 
         spec = self.spec
         train = tune = panel.where("label is not null")
-        if spec.signal != "column":
+        if spec.signal != "column" or spec.regime == "textclf":
             edge = train.select(F.unix_date("target").alias("t")).distinct().agg(F.percentile("t", F.lit(1 - spec.tune_share))).first()[0]
             late = F.unix_date("target") > F.lit(edge)
             train, tune = train.where(~late), train.where(late)
+        if spec.signal != "column":
             row = train.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in spec.features]).first()
             self.state["medians"] = {c: row[c] if row[c] is not None else 0.0 for c in spec.features}
             x = self._assembled(train)
@@ -372,7 +461,10 @@ class Pipeline:
             self.state |= {n: float(best[n]) for n in ("t_move", "t_ext", "c")}
         if spec.regime != "none":
             var = spec.params.get("var", "reg_med_vol20")
-            fit = fit_tercile if spec.regime == "tercile" else fit_linear
+            if spec.regime == "textclf":
+                self.big, var = BigMove(spec.params).fit(train), BIG
+                tuned = self.big.values(tuned)
+            fit = fit_linear if spec.regime == "linear" else fit_tercile
             self.state |= {"var": var} | {n: v for n, v in fit(tuned, var, self.state.get("k", 1.0)).first().asDict().items() if n not in ("n", "score", "i", "j")}
             self.state["batch"] = tuned.agg(F.median(var)).first()[0]
         return self
@@ -391,7 +483,9 @@ class Pipeline:
         if self.spec.decision == "decomp":
             return got.withColumn("pred", decomposed(F.col("p_move"), F.col("p_ext"), F.col("p_up"), self.state["t_move"], self.state["t_ext"], self.state["c"]))
         s = F.col("s")
-        if self.spec.regime == "tercile":
+        if self.spec.regime == "textclf":
+            got = self.big.values(got)
+        if self.spec.regime in ("tercile", "textclf"):
             r = F.coalesce(F.col(self.state["var"]), F.lit(self.state["batch"] or 0.0))
             s = s * F.when(r < self.state["e1"], self.state["f_lo"]).when(r < self.state["e2"], 1.0).otherwise(self.state["f_hi"])
         elif self.spec.regime == "linear":

@@ -182,18 +182,18 @@ def decomposed_signal(m):
 
 @query(None)
 def text_clf(m):
-    """Probability of a big move from headlines: balanced logistic regression over hashed words."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    from foreopen.functions.text import vectorizer
-    from foreopen.plans.text_queries import rows
-    from foreopen.sources.market import labels
-
-    y = labels(m.daily).withColumnRenamed("date", "target").withColumn("big", F.col("label").isin(0, 4).cast("double"))
-    x = rows(m).join(y, ["symbol", "target"]).groupBy("symbol", "target", "big").agg(F.array_join(F.array_sort(F.collect_list("title")), " ").alias("title"))
-    share = F.avg("big").over(D.Window.partitionBy())
-    x = x.withColumn("w", F.when(F.col("big") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-    v = vectorizer("hashing", features=1 << 12).fit(x).transform(x)
-    got = LogisticRegression(labelCol="big", weightCol="w", regParam=0.1, maxIter=20).fit(v).transform(v)
-    return got.select("symbol", "target", F.get(vector_to_array("probability"), F.lit(1)).alias("p_big"))
+    """Probability of a big move from headlines: balanced logistic regression over weighted words."""
+    from foreopen.plans.text_queries import titled
+
+    x = titled(m).cache()
+    return D.BigMove({"min_df": 2}).fit(x).values(x).select("symbol", "target", F.col(D.BIG).alias("p_big"))
+
+
+@query(None)
+def regime_text(m):
+    """The gap rule, its size scaled by the third in which the headlines' probability of a big move lies."""
+    from foreopen.plans.text_queries import titled
+
+    x = titled(m).cache()
+    spec = D.Spec("text", "column", "k", "textclf", params={"vectorizer": "count_uni", "min_df": 2}, tune_share=0.4)
+    return D.Pipeline(spec).fit(x).predict(x).select("symbol", "target", "label", "s", "pred")

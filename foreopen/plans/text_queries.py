@@ -21,7 +21,7 @@ def pattern(name: str) -> str:
 
 
 def aliases(m) -> DataFrame:
-    return m.spark.createDataFrame([(t, pattern(n)) for t, n in ALIASES.items()], "ticker string, pattern string")
+    return m.spark.createDataFrame([(t, n.lower(), pattern(n)) for t, n in ALIASES.items()], "ticker string, word string, pattern string")
 
 
 def symbols(m) -> DataFrame:
@@ -185,15 +185,56 @@ def text_features(m):
     return rounded(X.text_block(m.news, m.calendar, symbols(m), aliases(m)).select("symbol", "target", "titles_r1", *_OUT))
 
 
+def titled(m) -> DataFrame:
+    """The labelled panel with each target's joined titles."""
+    from foreopen.plans.market_queries import labelled
+
+    parts = F.array_sort(F.collect_list(F.struct("known_at", "ckey", "title")))
+    got = X.representatives(rows(m)).groupBy("symbol", "target").agg(F.array_join(F.transform(parts, lambda x: x["title"]), " || ").alias("titles_r1"))
+    return labelled(m).join(got, ["symbol", "target"], "left").fillna("", ["titles_r1"])
+
+
+#: Words of the lexicon that headlines are counted by.
+WORDS = sorted({w for kind in LEXICON.values() for w in kind})
+
+
+def _vectors(m, kind: str) -> DataFrame:
+    base = m.news.select("doc_id", "title")
+    return T.Vectorizer(kind, lexicon=WORDS).fit(base).transform(base)
+
+
 @query(None)
 def text_vectors(m):
-    """Each of the vectorizers on headlines: terms kept a title (no SQL states MLlib's vectors)."""
-    from pyspark.ml.functions import vector_to_array
+    """Each of the eight vectorizers on headlines: terms kept a title, and its vector's length (1 but for counts)."""
+    norm = F.udf(lambda v: float(v.norm(2)), "double")
+    size = F.udf(lambda v: int(v.numNonzeros()), "int")
+    out = None
+    for kind in T.VECTORIZERS:
+        x = _vectors(m, kind).select("doc_id", F.lit(kind).alias("kind"), size("features").alias("terms"), norm("features").alias("norm"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+_TOKEN = T.VEC_TOKEN.replace("'", "''")
+_TERMS = f"""tok as (select doc_id, regexp_extract_all(lower(coalesce(title, '')), '{_TOKEN}') as w, (select count(*) from v_news) as n from v_news),
+long as (select 'uni' as g, doc_id, unnest(w) as t from tok union all select 'bi', doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) from tok),
+df as (select g, t, count(distinct doc_id) as df from long group by g, t), kept as (select l.g, l.doc_id, l.t, count(*) as c, max(d.df) as df from long l join df d on d.g = l.g and d.t = l.t group by l.g, l.doc_id, l.t),
+kinds as (select 'count_uni' as kind, doc_id, c from kept where g = 'uni' and df >= 5 union all select 'tfidf_uni', doc_id, c from kept where g = 'uni' and df >= 5
+ union all select 'tfidf_bi', doc_id, c from kept where g = 'bi' and df >= 5 union all select 'tfidf_stop', doc_id, c from kept where g = 'uni' and df >= 5 and t not in ({', '.join(f"'{w}'" for w in T.STOPWORDS if w not in T.NEGATORS)})
+ union all select 'tfidf_df', doc_id, c from kept where g = 'uni' and df >= 20 and df <= 0.5 * (select count(*) from v_news) union all select 'lm_vocab', doc_id, c from kept where g = 'uni' and t in ({', '.join(f"'{w.lower()}'" for w in WORDS)}))"""
+
+
+@query(f"""with {_TERMS} select v.doc_id, k.kind, coalesce(x.terms, 0) as terms from v_news v cross join (values ('count_uni'), ('tfidf_uni'), ('tfidf_bi'), ('tfidf_stop'), ('tfidf_df'), ('lm_vocab')) k(kind)
+ left join (select kind, doc_id, count(*) as terms from kinds group by kind, doc_id) x on x.kind = k.kind and x.doc_id = v.doc_id""")
+def vector_terms(m):
+    """How many terms of each title the vectorizers keep."""
+    return text_vectors_of(m).select("doc_id", "kind", F.col("terms").cast("long").alias("terms"))
+
 
-    base = m.news.select("doc_id", F.coalesce("title", F.lit("")).alias("title"))
+def text_vectors_of(m) -> DataFrame:
+    size = F.udf(lambda v: int(v.numNonzeros()), "int")
     out = None
-    for kind in ("count_uni", "tfidf_uni", "tfidf_bi", "tfidf_stop", "tfidf_df", "hashing"):
-        x = T.vectorizer(kind, features=1 << 12).fit(base).transform(base)
-        x = x.select("doc_id", F.lit(kind).alias("kind"), F.size(F.filter(vector_to_array("features"), lambda v: v != 0)).alias("terms"))
+    for kind in ("count_uni", "tfidf_uni", "tfidf_bi", "tfidf_stop", "tfidf_df", "lm_vocab"):
+        x = _vectors(m, kind).select("doc_id", F.lit(kind).alias("kind"), size("features").alias("terms"))
         out = x if out is None else out.unionByName(x)
     return out
