@@ -378,6 +378,14 @@ class BigMove:
         self.classifier = LogisticRegression(labelCol="_y", weightCol="_w", regParam=penalty, standardization=False, maxIter=200).fit(x)
         return self
 
+    def terms(self, n: int = 20) -> list[tuple[str, float]]:
+        """The inputs that speak most for a big move and most against it, with their coefficients; largest first."""
+        if self.classifier is None:
+            return []
+        names = self.vectors.counts.vocabulary if self.text else list(self.middle)
+        ranked = sorted(zip(names, self.classifier.coefficients.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+        return ranked if len(ranked) <= 2 * n else [*ranked[:n], *ranked[-n:]]
+
     def values(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 

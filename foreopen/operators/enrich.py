@@ -30,6 +30,19 @@ def reddit_activity(reddit: DataFrame, targets: DataFrame) -> DataFrame:
     return to_next_cutoff(reddit, targets, "created_et").where("target is not null").groupBy("target", "sub").agg(F.count("*").alias("n"))
 
 
+def over_median(counts: DataFrame, key: str, value: str) -> DataFrame:
+    """Each count against the median of its key's counts, null where that is 0."""
+    usual = counts.groupBy(key).agg(F.median(value).alias("_usual"))
+    return counts.join(usual, key).withColumn("ratio", F.try_divide(F.col(value), F.col("_usual"))).drop("_usual")
+
+
+def relative_activity(activity: DataFrame, days: int = 5) -> DataFrame:
+    """``target, sub, relative, smooth``: a sub's share of its own mean, and the mean of that over the last days."""
+    own = F.col("n") / F.avg("n").over(Window.partitionBy("sub"))
+    x = activity.select("target", "sub", own.alias("relative"))
+    return x.withColumn("smooth", F.avg("relative").over(S.by("sub", order="target").rowsBetween(-(days - 1), 0)))
+
+
 def activity_pivot(activity: DataFrame, subs: list[str]) -> DataFrame:
     return activity.groupBy("target").pivot("sub", subs).agg(F.sum("n")).fillna(0, subs)
 
@@ -93,12 +106,25 @@ def request_key(schema: str, text: Column, model: str = "none", effort: str = "l
     return F.sha2(F.concat_ws("\n", F.lit(head), text), 256)
 
 
-def pending(requests: DataFrame, responses: DataFrame, budget: int | None = None) -> DataFrame:
-    """Requests ``(key, text)`` without a response, once each; a budget takes the first by key."""
+def pending(requests: DataFrame, responses: DataFrame, budget: int | None = None, attempts: int = 1) -> DataFrame:
+    """Requests ``(key, text)`` without an answer, once each; a budget takes the first by key.
+
+    responses: ``(key)``, or ``(key, response)``, where a null response is a failed attempt: such requests come again
+    until they have failed ``attempts`` times.
+    """
+    if "response" in responses.columns:
+        tries = responses.groupBy("key").agg(F.count("response").alias("ok"), F.count("*").alias("n"))
+        responses = tries.where((F.col("ok") > 0) | (F.col("n") >= attempts))
     out = requests.dropDuplicates(["key"]).join(responses.select("key"), "key", "left_anti")
     return out if budget is None else out.orderBy("key").limit(budget)
 
 
+def expected_cost(requests: DataFrame, per_million: float, text: str = "text", answer_chars: int = 400, chars_a_token: float = 4.0) -> DataFrame:
+    """``requests, tokens, cost`` of what would be sent, before anything is."""
+    tokens = F.sum((F.length(text) + answer_chars) / chars_a_token)
+    return requests.agg(F.count("*").alias("requests"), F.coalesce(tokens, F.lit(0.0)).alias("tokens"), (F.coalesce(tokens, F.lit(0.0)) * per_million / 1e6).alias("cost"))
+
+
 def parse(responses: DataFrame, schema: str) -> DataFrame:
     """``key`` and the fields of JSON responses; text that isn't JSON of the schema gives nulls."""
     return responses.select("key", F.from_json("response", schema).alias("r")).select("key", "r.*")

@@ -9,6 +9,7 @@ from foreopen.functions import text as T
 from foreopen.operators import enrich as N
 from foreopen.plans.market_queries import NINE
 from foreopen.plans.registry import query, r, rounded
+from foreopen.plans.text_queries import _ART as ARTICLES
 from foreopen.plans.text_queries import ALIASES
 from foreopen.streaming import windows as W
 
@@ -51,6 +52,20 @@ def abnormal_ewm(m):
     return rounded(N.abnormal_ewm(N.reddit_mentions(m.reddit, symbols(m), targets(m)), symbols(m), targets(m)).select("symbol", "target", "mentions", "abn"))
 
 
+@query(f"""with {_RED}, ac as (select target, sub, count(*) as n from rw group by target, sub), rl as (select target, sub, n / avg(n) over (partition by sub) as relative from ac)
+ select target, sub, {r('relative')} as relative, {r('avg(relative) over (partition by sub order by target rows between 4 preceding and current row)')} as smooth from rl""")
+def relative_activity(m):
+    return rounded(N.relative_activity(N.reddit_activity(m.reddit, targets(m))))
+
+
+@query(f"""with c as (select s.symbol, n.known_at::date as day, count(*) as n from (select doc_id, known_at, unnest(string_split(symbols, ',')) as symbol from v_news) n join (select distinct symbol from v_daily) s on s.symbol = n.symbol group by s.symbol, n.known_at::date),
+ md as (select symbol, median(n) as usual from c group by symbol) select c.symbol, c.day, c.n, {r('c.n / md.usual')} as ratio from c join md on md.symbol = c.symbol""")
+def articles_over_median(m):
+    """A symbol's articles of a day against its usual number."""
+    n = T.explode_symbols(m.news).join(symbols(m), "symbol").groupBy("symbol", F.col("known_at").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    return rounded(N.over_median(n, "symbol", "n"))
+
+
 _TOP = "case when p_pos = greatest(p_pos, p_neg, p_neu) then 'positive' when p_neg = greatest(p_pos, p_neg, p_neu) then 'negative' else 'neutral' end"
 
 
@@ -170,3 +185,27 @@ def stream_dedup(m):
 @query(f"select c.target, event_type, count(*) as n from events e join v_calendar c on c.target is not null and e.ts >= c.date::timestamp + {NINE} and e.ts < c.target::timestamp + {NINE} group by c.target, event_type")
 def stream_by_target(m):
     return W.by_target(m.raw("events"), m.calendar)
+
+
+_GRID = f"""gr as (select s.symbol, t.target, coalesce(sum(mentions), 0)::double as x, row_number() over (partition by s.symbol order by t.target) - 1 as i
+ from (select distinct symbol from v_daily) s cross join tg t left join mn on mn.symbol = s.symbol and mn.target = t.target group by s.symbol, t.target),
+f as (select symbol, i, x::double as s from gr where i = 0 union all select g.symbol, g.i, {S.span_to_alpha(20)!r} * g.x + {1 - S.span_to_alpha(20)!r} * f.s from f join gr g on g.symbol = f.symbol and g.i = f.i + 1),
+ab as (select g.symbol, g.target, ln(1 + g.x) - ln(1 + f.s) as abn from gr g left join f on f.symbol = g.symbol and f.i = g.i - 1)"""
+_NORM = "md5(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')))"
+
+
+@query(f"""with recursive {_RED}, {_GRID}, {ARTICLES}, ti as (select title_id, row_number() over (order by title_id) - 1 as vec from (select distinct {_NORM.format("coalesce(title, '')")} as title_id from v_news) z),
+ told as (select distinct symbol, target, {_NORM.format('title')} as title_id from reps),
+ fb as (select t.symbol, t.target, avg(p_pos - p_neg) as fb_net, avg(({_TOP} = 'negative')::int::double) as fb_neg_share, count(*)::double as fb_n from told t join ti on ti.title_id = t.title_id join v_finbert v on v.vec_id = ti.vec group by t.symbol, t.target)
+ select g.symbol, c.target, {r('ab.abn')} as mentions_abn, {r('fb_net')} as fb_net, {r('fb_neg_share')} as fb_neg_share, {r('fb_n')} as fb_n
+ from (select symbol, date_et from v_daily) g join v_calendar c on c.date = g.date_et and c.target is not null left join ab on ab.symbol = g.symbol and ab.target = c.target left join fb on fb.symbol = g.symbol and fb.target = c.target""")
+def research_panel(m):
+    """The panel's keys with social and scored-title features; the n-th title by id has the n-th score."""
+    from foreopen.plans.runs import attach_research
+    from foreopen.plans.text_queries import aliases
+
+    ids = m.news.select(T.title_id(F.col("title")).alias("title_id")).distinct()
+    ids = ids.withColumn("vec_id", F.row_number().over(S.Window.orderBy("title_id")) - 1)
+    scores = ids.join(m.finbert.drop("title_id"), "vec_id").select("title_id", "p_pos", "p_neg", "p_neu")
+    keys = m.daily.select("symbol", F.col("date_et").alias("date")).join(m.calendar.where("target is not null"), "date").select("symbol", "target")
+    return rounded(attach_research(keys, m, ["reddit", "finbert"], aliases(m), scores=scores))

@@ -264,3 +264,31 @@ def predict_all(m):
     from foreopen.plans.runs import predict
 
     return predict(m, None)
+
+
+@query(f"select fold, {r('corr(s, label)')} as rho, count(*) as n from v_pred where s is not null and label is not null group by fold")
+def pearson(m):
+    return rounded(E.pearson(m.predictions, "s", "label", "fold"))
+
+
+@query(None)
+def parity_all(m):
+    """Eight target days, each made from its own cut of the tables, against the batch panel: every group's columns.
+
+    One row a column: rows compared, nulls that differ, the largest difference and rows beyond 1e-9 (all 0 but the first).
+    """
+    from foreopen.operators import features as X
+    from foreopen.plans.text_queries import LEXICON, aliases
+
+    groups, names = list(X.GROUPS), aliases(m)
+    order = E.draw(F.lit("parity"), F.col("target").cast("string"))
+    days = [r["target"] for r in m.calendar.where("target is not null").orderBy(order, "target").limit(8).collect()]
+    build = {"groups": groups, "aliases": names, "lexicon": LEXICON}
+    whole = X.build_features(m, **build).where(F.col("target").isin(days))
+    own = None
+    for d in days:
+        x = X.day_features(m, d, **build)
+        own = x if own is None else own.unionByName(x)
+    code = F.xxhash64("titles_r1").bitwiseAND((1 << 40) - 1).cast("double")  # equal texts have equal codes
+    columns = X.resolve(groups)
+    return E.parity(whole.withColumn("titles_r1", code), own.withColumn("titles_r1", code), columns)

@@ -6,8 +6,12 @@ batch run states the result that a finished stream must have.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foreopen.operators.asof import to_target
 
@@ -46,6 +50,30 @@ def by_target(events: DataFrame, calendar: DataFrame) -> DataFrame:
     return to_target(plain, calendar).groupBy("target", "event_type").agg(F.count("*").alias("n"))
 
 
+STORY = "symbol string, ckey string, widx bigint, is_first boolean"
+
+
+def first_stories(stories: DataFrame, lookback: int = 5) -> DataFrame:
+    """``symbol, ckey, widx, is_first`` of a stream ``(symbol, ckey, widx)``: new unless told in the windows before.
+
+    One number a story is remembered: the last window it was told in. Windows arrive in order; a batch may hold many,
+    and repeated tellings within one window are one story. Several tellings of a window in two batches come out twice,
+    the second one as not first.
+    """
+
+    def tell(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        told = sorted({int(w) for pdf in batches for w in pdf["widx"]})
+        first = []
+        for w in told:
+            first.append(last is None or w - last > lookback)
+            last = w if last is None else max(last, w)
+        state.update((last,))
+        yield pd.DataFrame({"symbol": key[0], "ckey": key[1], "widx": told, "is_first": first})
+
+    return stories.groupBy("symbol", "ckey").applyInPandasWithState(tell, STORY, "last bigint", "append", GroupStateTimeout.NoTimeout)
+
+
 def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Run a stream over what its source has now, into a table in memory (for tests and small results)."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
