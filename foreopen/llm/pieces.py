@@ -31,6 +31,9 @@ CACHE = 250_000
 #: How many units stay known from one task to the next.
 KEPT = 50_000
 WORDS = 200_000
+#: Characters that a chunk knows beyond its borders, and chunks whose matrices one task multiplies.
+SPAN = 64
+BLOCK = 64
 PAIRS = 400_000
 NONE = -(1 << 30)
 
@@ -381,12 +384,14 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None, :, :]).max(1), NONE)
 
 
-def choose(mats: list[np.ndarray]) -> list[int]:
-    """The border states of the best path, from prefix products forward and single matrices backward."""
-    prefix = [np.zeros((1, 1), np.int64)]
+def choose(mats: list[np.ndarray], first: int = 0, last: int | None = None) -> list[int]:
+    """The border states of the best path between two states, from prefix products forward and single matrices backward."""
+    start = np.full((1, len(mats[0])), NONE, np.int64)
+    start[0, first] = 0
+    prefix = [start]
     for m in mats:
         prefix.append(product(prefix[-1], m))
-    at = [int(prefix[-1][0].argmax())]
+    at = [int(prefix[-1][0].argmax()) if last is None else last]
     for p, m in zip(prefix[-2::-1], mats[::-1], strict=True):
         at.append(int((p[0] + m[:, at[-1]]).argmax()))
     return at[::-1]
@@ -438,6 +443,8 @@ def _matrices(path: str):
         for pdf in batches:
             cells = []
             for left, text, right, k, end in zip(pdf["left"], pdf["text"], pdf["right"], pdf["k"], pdf["last"], strict=True):
+                if p.longest > SPAN:
+                    raise ValueError(f"the vocabulary has a piece of {p.longest} characters; chunks know {SPAN} beyond their borders")
                 entries, exits = _borders(p, left, text, right, k, end)
                 m = p.transfer(text + right[: p.longest], 0, len(text), entries, exits)
                 cells.append((m.shape[0], m.shape[1], m.astype(np.int32).tobytes()))
@@ -453,9 +460,29 @@ def _borders(p: Pieces, left: str, text: str, right: str, k: int, end: int):
     return entries, p.states((left + text)[-p.longest :], "" if k == end else right, len(text))
 
 
-def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
+def _cells(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(c, np.int32).reshape(r, s).astype(np.int64) for r, s, c in zip(pdf["rows"], pdf["cols"], pdf["cells"], strict=True)]
+
+
+def _products(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One matrix for a block of neighbouring chunks."""
+    whole, *rest = _cells(pdf.sort_values("k"))
+    for m in rest:
+        whole = product(whole, m)
+    return pd.DataFrame({"row": pdf["row"].iloc[:1], "block": pdf["block"].iloc[:1], "rows": whole.shape[0], "cols": whole.shape[1], "cells": [whole.astype(np.int32).tobytes()]})
+
+
+def _between(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Border states of a document's blocks."""
+    pdf = pdf.sort_values("block")
+    at = choose(_cells(pdf))
+    return pd.DataFrame({"row": pdf["row"], "block": pdf["block"], "first": at[:-1], "final": at[1:]})
+
+
+def _within(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Border states of a block's chunks, from those of the block."""
     pdf = pdf.sort_values("k")
-    at = choose([np.frombuffer(c, np.int32).reshape(r, s).astype(np.int64) for r, s, c in zip(pdf["rows"], pdf["cols"], pdf["cells"], strict=True)])
+    at = choose(_cells(pdf), int(pdf["first"].iloc[0]), int(pdf["final"].iloc[0]))
     return pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "enter": at[:-1], "leave": at[1:]})
 
 
@@ -481,7 +508,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = 32_768, carry: tupl
     With digests, the columns of DIGEST come in the place of the ids, made where the ids are.
 
     A null text has null ids, an empty one no ids. Texts of over ``chunk`` characters are cut into chunk rows, spread
-    over the cluster, and encoded by the scan; all others are encoded where they are. Repeated rows are encoded each by
+    over the cluster, and encoded by the scan: matrices are multiplied by blocks of chunks, then the blocks' products; all others are encoded where they are. Repeated rows are encoded each by
     itself; other columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
@@ -491,14 +518,17 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = 32_768, carry: tupl
     big = cut(docs.where(F.length("text") > chunk).select("doc_id", *carry, F.concat(F.lit(SPACE), F.replace(F.col("text"), F.lit(" "), F.lit(SPACE))).alias("text")).withColumn("row", F.expr("uuid()")))
     if big.isEmpty():
         return small
-    span = 64  # more than any piece
-    at = lambda a, n: F.substring("text", a, n)
-    k0 = F.col("k") * chunk
-    chunks = big.select("row", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))).alias("k"))
-    chunks = chunks.select("row", "k", F.floor((F.length("text") - 1) / chunk).cast("int").alias("last"), at(F.greatest(k0 - span + 1, F.lit(1)), F.least(k0, F.lit(span))).alias("left"), at(k0 + chunk + 1, F.lit(span)).alias("right"), at(k0 + 1, F.lit(chunk)).alias("text"))
+    # one pass over each text, whatever its length; neighbours lend the characters beyond the borders
+    pieces_of = big.select("row", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("parts"))
+    around = lambda x, k: F.struct(
+        k.alias("k"), F.coalesce(F.substring(F.get("parts", k - 1), -SPAN, SPAN), F.lit("")).alias("left"), F.coalesce(F.substring(F.get("parts", k + 1), 1, SPAN), F.lit("")).alias("right"), x.alias("text")
+    )
+    chunks = pieces_of.select("row", (F.size("parts") - 1).alias("last"), F.explode(F.transform("parts", around)).alias("c")).select("row", "c.k", "last", "c.left", "c.right", "c.text")
     chunks = cut(chunks.repartition("row", "k"))
-    matrices = chunks.mapInPandas(_matrices(model), "row string, k int, rows int, cols int, cells binary")
-    borders = matrices.groupBy("row").applyInPandas(_combine, "row string, k int, enter int, leave int")
+    matrices = cut(chunks.mapInPandas(_matrices(model), "row string, k int, rows int, cols int, cells binary").withColumn("block", F.floor(F.col("k") / BLOCK).cast("int")))
+    blocks = matrices.groupBy("row", "block").applyInPandas(_products, "row string, block int, rows int, cols int, cells binary")
+    ends = blocks.groupBy("row").applyInPandas(_between, "row string, block int, first int, final int")
+    borders = matrices.join(ends, ["row", "block"]).groupBy("row", "block").applyInPandas(_within, "row string, k int, enter int, leave int")
     parts = chunks.join(borders, ["row", "k"]).mapInPandas(_traces(model), "row string, k int, ids array<int>")
     ids = parts.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     whole = big.drop("text").join(ids, "row").drop("row")
@@ -515,7 +545,11 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = 32_768, carry: tupl
 
 
 def decode(encoded: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, text)`` of ``(doc_id, ids)``; null ids give null. Bytes that are no UTF-8 come back as U+FFFD."""
+    """``(doc_id, text)`` of ``(doc_id, ids)`` and carried columns; null ids give null, no ids an empty text.
+
+    Bytes that are no UTF-8 come back as U+FFFD. Repeated rows are decoded each by itself; other columns are ignored; an
+    empty table gives no rows.
+    """
     kind = dict(encoded.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foreopen.llm.common import cut, read, small_batches
@@ -30,13 +30,16 @@ COMMON = ANCHORS | frozenset(
 )
 WORD = re.compile(r"[^\W_]+")
 CHAIN = 2
+#: One word in so many is an anchor where no common word is known.
+RARE = 3
 
 
 def signatures(text: str, chain: int = CHAIN) -> list[int]:
-    """Sorted 32-bit signature hashes of a text; a text without any gets one for its whole word sequence.
+    """Sorted 32-bit signature hashes of a text.
 
-    A text without words has none, so blank texts are all alike. Otherwise only equal word sequences without anchors
-    are.
+    In a text where no known anchor starts a chain (another language, say), one word in ``RARE``, by its hash, is an
+    anchor, and all words are content: a changed word changes the few chains through it. A text too short for that
+    too gets one signature for its whole word sequence. A text without words has none, so blank texts are all alike.
     """
     words = WORD.findall(text.lower())
     content = [w for w in words if w not in COMMON]
@@ -47,6 +50,10 @@ def signatures(text: str, chain: int = CHAIN) -> list[int]:
                 found.add(xxhash.xxh32_intdigest(" ".join((w, *content[at : at + chain])), 0))
         else:
             at += 1
+    if not found:
+        for at, w in enumerate(words[: max(0, len(words) - chain)]):
+            if xxhash.xxh32_intdigest(w, 2) % RARE == 0:
+                found.add(xxhash.xxh32_intdigest(" ".join(words[at : at + 1 + chain]), 3))
     if not found and words:
         found.add(xxhash.xxh32_intdigest(" ".join(words), 1))
     return sorted(found)
@@ -110,6 +117,18 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> t
     return pairs.select("a", "b", "likeness").distinct(), member
 
 
+def _range_of(x: Column, cuts: list[float]) -> Column:
+    """How many of the sorted numbers are under x, by two short searches: among every m-th one, then among m."""
+    if not cuts:
+        return F.lit(0)
+    m = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[i : i + m] for i in range(0, len(cuts), m)]
+    under = lambda array: F.aggregate(array, F.lit(0), lambda n, c: n + F.when(c < x, 1).otherwise(0))
+    lits = lambda xs: F.array(*[F.lit(float(c)) for c in xs])
+    coarse = under(lits([g[0] for g in groups]))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * m + under(F.get(F.array(*map(lits, groups)), coarse - 1)))
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame, int]:
     """``(part, tail, doc_id, h, text)``: rows dealt by ranges of doc_id, each range followed by the next one's first row.
 
@@ -120,10 +139,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame, int
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = sorted(set(rows.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.2 / parts)))
-    part = F.lit(0)
-    if cuts:
-        part = F.expr(f"aggregate(array({', '.join(f'{c!r}D' for c in cuts)}), 0, (n, c) -> n + if(c < doc_id, 1, 0))")
-    rows = rows.withColumn("part", part.cast("int"))
+    rows = rows.withColumn("part", _range_of(F.col("doc_id"), cuts).cast("int"))
     first = {r["part"]: r["m"] for r in rows.groupBy("part").agg(F.min("doc_id").alias("m")).collect()}  # a number for each range
     at = sorted(first)
     before = {p: at[k - 1] for k, p in enumerate(at)}  # the last range is followed by the first row of all

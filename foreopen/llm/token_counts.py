@@ -3,7 +3,7 @@
 A text is cut into units that tokenise by themselves: the pre-tokens from one place where white space follows another
 character up to the next such place. Units are gathered into leaves, and a binary tree over the leaves sums their
 characters and tokens. An edit finds its leaves by the tree, re-encodes only those (and the leaf before it, where the
-edit begins at a border), and updates the sums on their way to the root.
+edit begins at a border), and updates the sums on their way to the root. A leaf that outgrows its size is divided again.
 """
 
 from __future__ import annotations
@@ -95,7 +95,8 @@ def units(text: str) -> list[str]:
 class CountTree:
     """Sums of characters and tokens over leaves: node k has children 2k and 2k + 1, leaves begin at ``width``."""
 
-    def __init__(self, chars: list[int], tokens: list[int]):
+    def __init__(self, chars: list[int], tokens: list[int], size: int = LEAF):
+        self.size = size
         self.width = 1 << max(0, (len(chars) - 1).bit_length())
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
         self.chars[self.width : self.width + len(chars)] = chars
@@ -135,7 +136,7 @@ class CountTree:
         stop = max(start, stop)
         after = text[:start] + new + text[stop:]
         if not text or not after:
-            self.__init__([len(after)] if after else [], [counter.whole(after)] if after else [])
+            self.__init__(*counter.leaves(after, self.size), self.size)
             return after, len(after)
         # the characters on both sides of the edit decide whether the leaves' borders are still safe
         first, begin = self.find(max(0, start - 1))
@@ -143,6 +144,13 @@ class CountTree:
         end = at + self.chars[self.width + last]
         grown = len(new) - (stop - start)
         part = after[begin : end + grown]
+        if len(part) > 4 * self.size:  # begins and ends where leaves do, so its own leaves may take their place
+            chars, tokens = counter.leaves(part, self.size)
+            old = [(c, t) for k, (c, t) in enumerate(zip(self.chars[self.width :], self.tokens[self.width :], strict=True)) if c and not first <= k <= last]
+            left = sum(c > 0 for c in self.chars[self.width : self.width + first])
+            old[left:left] = zip(chars, tokens, strict=True)
+            self.__init__([c for c, _ in old], [t for _, t in old], self.size)
+            return after, len(part)
         self.put(first, len(part), counter.whole(part))
         for leaf in range(first + 1, last + 1):
             if self.chars[self.width + leaf]:
@@ -189,7 +197,8 @@ def apply_edits(trees: DataFrame, ranks: str = RANKS) -> DataFrame:
     """Counts before and after edits; trees: ``build(carry=("text",))`` with ``edits array<struct<start, stop, new>>``.
 
     Edits apply one after the other, each to the text that the last left; places out of the text are moved to its end,
-    null edits change nothing. ``encoded_chars`` is how many characters were tokenised anew.
+    null edits change nothing, a null text is empty. ``encoded_chars`` is how many characters were tokenised anew.
+    Repeated rows are edited each by itself; other columns are ignored; an empty table gives no rows.
     """
     kind = dict(trees.dtypes)["doc_id"]
 

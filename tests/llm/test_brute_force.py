@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from foreopen import llm
-from foreopen.llm import embeddings, langid, line_dedup, mixing, pieces, quality, simhash, spotsigs, token_counts
+from foreopen.llm import embeddings, langid, line_dedup, mixing, pieces, quality, simhash, spotsigs, token_counts, urls
 from foreopen.llm.common import components
 from tests.conftest import same
 
@@ -89,6 +89,18 @@ def test_line_dedup_small_filter(spark, data, duck):
     same(out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")), duck, line_dedup.ORACLE)
 
 
+@pytest.mark.parametrize("kw", [{"broadcast_bits": 0}, {"broadcast_known": 0}, {"broadcast_bits": 0, "broadcast_known": 0, "filter_bits": 1 << 12}])
+def test_line_dedup_without_broadcasts(spark, data, duck, kw):
+    """Filters divided by hash, and known lines joined, give the same result."""
+    out = line_dedup.dedup_lines(spark.read.parquet(f"{data}/documents.parquet"), **kw)
+    same(out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")), duck, line_dedup.ORACLE)
+
+
+def test_line_dedup_filter_follows_the_lines():
+    assert [line_dedup.bits_for(n) for n in (0, 1 << 16, (1 << 16) + 1, 1 << 30)] == [1 << 20, 1 << 20, 1 << 21, 1 << 34]
+    assert line_dedup.layout(1 << 34) == (1 << 24, 1 << 10)
+
+
 def test_mixing_targets(spark, data):
     rows = mixing.op3_mixing(spark, data).collect()
     again = mixing.op3_mixing(spark, data).collect()
@@ -129,6 +141,94 @@ def test_embeddings_hot_group(spark):
     assert {i: q["component_id"] for i, q in got.items()} == closure(list(links), links)
 
 
+def near_brute(spark, x, ids=None, **kw):
+    """near_duplicates against all pairs: links and components, by row."""
+    ids = list(range(len(x))) if ids is None else ids
+    rows = [(i, v.tolist(), 0) for i, v in zip(ids, x.astype(np.float32), strict=True)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), **kw).collect()
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.98
+    low = closure(list(range(len(x))), {i: np.flatnonzero(hit[i]).tolist() for i in range(len(x))})
+    least = {}
+    for i, c in low.items():
+        least[c] = min(least.get(c, ids[i]), ids[i])
+    want = sorted((ids[i], int(hit[i].sum()) - 1, least[c]) for i, c in low.items())
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
+def crowd(r, centre, n, spread):
+    x = centre + r.normal(size=(n, len(centre))) * spread / np.sqrt(len(centre))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def two_centres(r, apart, dim=64):
+    a = r.normal(size=dim)
+    a /= np.linalg.norm(a)
+    b = r.normal(size=dim)
+    b -= b @ a * a
+    b = a + b / np.linalg.norm(b) * apart
+    return a, b / np.linalg.norm(b)
+
+
+def test_embeddings_crowds_that_touch(spark):
+    """Two crowds of 20, all of whose 40 link: lists of 12 fill with their own crowd."""
+    r = np.random.default_rng(0)
+    a, b = two_centres(r, 0.15)
+    x = np.vstack([crowd(r, a, 20, 0.03), crowd(r, b, 20, 0.03)])
+    assert (x @ x.T).min() >= 0.985
+    near_brute(spark, np.vstack([x, r.normal(size=(60, 64))]))
+
+
+def test_embeddings_lists_are_enlarged(spark):
+    """A loose crowd, whose vectors have about 100 neighbours each but are no clique, and lists of 6."""
+    r = np.random.default_rng(4)
+    a, b = two_centres(r, 0.1)
+    near_brute(spark, np.vstack([crowd(r, a, 90, 0.14), crowd(r, b, 60, 0.14), r.normal(size=(60, 64))]), k=6, passes=1)
+
+
+def test_embeddings_repeated_ids(spark):
+    """Rows of one vec_id with different vectors, or with equal ones, are vectors of their own."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(6, 16))
+    x[1], x[3] = x[0], x[0] + 0.001
+    near_brute(spark, x, ids=[5, 5, 7, 7, 9, 5])
+
+
+def test_embeddings_fail_under_the_recall(spark, monkeypatch):
+    """A search that finds nothing is an error, not a result."""
+    monkeypatch.setattr(embeddings, "nearest", lambda edges, wide, k: edges.select("u", "v", "gap").where("false").selectExpr("*", "cast(null as double) as worst"))
+    monkeypatch.setattr(embeddings, "BATCH", 1)
+    x = np.random.default_rng(3).normal(size=(20, 16))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.vstack([x, x + 0.01]))]
+    with pytest.raises(RuntimeError, match="links were found"):
+        embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), attempts=1, rounds=1)
+
+
+def test_gather():
+    """Cells: every member within its radius; tight ones link throughout, loose ones with one vector."""
+    import math
+
+    import pandas as pd
+
+    r = np.random.default_rng(5)
+    a, b = two_centres(r, 0.12)
+    x = np.vstack([crowd(r, a, 60, 0.08), crowd(r, b, 60, 0.16), r.normal(size=(30, 64))]).astype(np.float32)
+    pdf = pd.DataFrame({"node": range(len(x)), "space": "0", "weight": 1, "vec": list(x), "radius": 0.0})
+    u, theta = embeddings.unit(pdf["vec"]), math.acos(0.98)
+    for tight in (True, False):
+        got = embeddings.gather(pdf, theta, tight)
+        assert sorted(n for c in got for n in c[5]) == list(range(len(x)))
+        for _, _, weight, vec, radius, members in got:
+            c = embeddings.unit([vec])[0]
+            assert weight == len(members) and embeddings.angle(u[members] @ c).max() <= radius + 1e-6
+            if tight:
+                assert (u[members] @ u[members].T >= 0.98 - 1e-12).all()
+            else:
+                assert any((u[members] @ u[m] >= 0.98 - 1e-12).all() for m in members)
+
+
 def test_langid_held_out(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     got = langid.op2_langid(spark, data).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -147,6 +247,79 @@ def test_langid_tables_equal_filters():
     assert langid.scores(net, x) == pytest.approx(z - np.log(np.exp(z).sum(1, keepdims=True)), abs=1e-4)
 
 
+def test_langid_whole_texts(spark, data, texts):
+    """The query's language and score of every text against a plain forward pass, window by window."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    net, langs = langid.learn(docs)
+    got = {r["doc_id"]: r for r in langid.identify(docs.select("doc_id", "text"), (net, langs)).collect()}
+    for i, t in texts.items():
+        if not any(ch.isalpha() for ch in t):
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        raw, total, size = t.encode(), np.zeros(len(langs)), 0
+        for at in range(0, len(raw), 512):
+            part = raw[at : at + 512]
+            x = np.frombuffer(part.ljust(512, b"\0"), np.uint8)
+            h = np.concatenate([np.maximum(sum(table[j][x[j : 512 - w + 1 + j]] for j in range(w)).max(0), 0) for w, table in zip(langid.WIDTHS, net["conv"], strict=True)])
+            z = (h @ net["dense"] + net["bias"]).astype(float)
+            z -= z.max()
+            total += (z - np.log(np.exp(z).sum())) * len(part)
+            size += len(part)
+        p = np.exp(total / size - (total / size).max())
+        p /= p.sum()
+        assert got[i]["score"] == pytest.approx(p.max(), abs=2e-3) and (p.max() - np.sort(p)[-2] < 1e-2 or got[i]["lang_pred"] == langs[int(p.argmax())])
+
+
+def test_quality_votes(spark, data, texts):
+    """The query's score of every text against all labelled vectors, one by one."""
+    docs, marks = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    own = marks.where(~langid.held_out(F.col("doc_id"), 3, 1)).select(F.col("doc_id").alias("key"), "quality")
+    votes = quality.fit(docs.select(F.col("doc_id").alias("key"), "text"), own)
+    assert len(votes.labels) == own.distinct().count()
+    got = {r["doc_id"]: r["score"] for r in quality.op7_quality(spark, data).collect()}
+    for i, t in texts.items():
+        if not t:
+            assert got[i] == pytest.approx(votes.prior)
+            continue
+        v = (quality.terms(t.encode()).astype(float) * votes.weight) @ votes.axes
+        v /= np.linalg.norm(v)
+        sims = votes.vectors.astype(float) @ v
+        top = np.argsort(-sims)[: votes.nearest]
+        w = np.maximum(sims[top], 0) ** votes.power
+        assert got[i] == pytest.approx((w * votes.labels[top]).sum() / w.sum(), abs=0.05)  # ties at the last place
+
+
+def test_urls(spark):
+    """The trees: many features split, SQL equals numpy row by row, held-out urls ranked, no single feature suffices."""
+    train, held = urls.examples(), urls.examples(1500, seed=99)
+    frame = lambda rows: spark.createDataFrame(rows, "url string, label int")
+    base, forest, rates, words = urls.trained(frame(train), 20_000, 500)
+    used = set()
+
+    def walk(t):
+        if not isinstance(t, float):
+            used.add(urls.FEATURES[t[0]])
+            walk(t[2]), walk(t[3])
+
+    for t in forest:
+        walk(t)
+    assert len(used) >= 8
+    scored = urls.features(frame(held), rates, words).select("label", *urls.FEATURES, F.expr(urls.expression(base, forest)).alias("score")).toPandas()
+    x, y = scored[list(urls.FEATURES)].to_numpy(float), scored["label"].to_numpy()
+    p = urls.probability(base, forest, x)
+    assert scored["score"].to_numpy() == pytest.approx(p, abs=1e-12)
+    order = np.argsort(np.argsort(p)) + 1
+    auc = (order[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    assert auc > 0.9
+    for k, name in enumerate(urls.FEATURES):  # the classes overlap in every feature
+        a, b = x[y == 1, k], x[y == 0, k]
+        assert a.min() <= b.max() and b.min() <= a.max(), name
+        best = max(max(((x[:, k] > c) == y).mean(), ((x[:, k] <= c) == y).mean()) for c in np.unique(x[:, k])[:400])
+        assert best < ((p > 0.5) == y).mean()
+    plain = train[0][0]
+    assert urls.host_of is not None and plain.startswith("http")
+
+
 def test_quality_held_out(spark, data):
     marks = spark.read.parquet(f"{data}/labels.parquet")
     got = quality.op7_quality(spark, data).join(marks, "doc_id").where("held_out").collect()
@@ -167,6 +340,25 @@ def test_spotsigs(spark, data, texts):
         assert (r["near_edited"], r["near_next"]) == pytest.approx((jac(a, b), jac(a, c)))
 
 
+def test_spotsigs_ranges(spark):
+    """The two short searches find the range that counting all smaller numbers finds."""
+    r = random.Random(8)
+    for n in (0, 1, 2, 7, 50):
+        cuts = sorted({float(r.randrange(100)) for _ in range(n)})
+        got = spark.range(-3, 105).select("id", spotsigs._range_of(F.col("id"), cuts).alias("k")).collect()
+        assert all(x["k"] == sum(c < x["id"] for c in cuts) for x in got)
+
+
+def test_spotsigs_without_anchors():
+    """A text of unknown words changes little when one word does."""
+    words = [f"q{i * 7919 % 1000}z" for i in range(200)]
+    a = spotsigs.signatures(" ".join(words))
+    words[50] = "changed"
+    b = spotsigs.signatures(" ".join(words))
+    assert len(a) > 20 and 0.8 < spotsigs.likeness(a, b) < 1
+    assert len(spotsigs.signatures("zwei")) == 1 and spotsigs.signatures("...") == []
+
+
 def test_spotsigs_pairs(spark, data, texts):
     pairs, member = spotsigs.near_pairs(spark.read.parquet(f"{data}/documents.parquet"), 0.5)
     classes = sorted({r["class"] for r in member.collect()})
@@ -196,6 +388,46 @@ def test_pieces_without_borders():
     assert (pieces.product(pieces.product(a, b), c) == pieces.product(a, pieces.product(b, c))).all()
 
 
+def test_pieces_digests(spark, data, texts):
+    """Ids and their digests of every whole text, as the library's ids give them."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    for r in pieces.op10_pieces(spark, data).collect():
+        ids = np.array(sp.encode(texts[r["doc_id"]]), "<i4")
+        text = texts[r["doc_id"]]
+        assert (r["n_tokens"], r["n_chars"], r["ids_sha256"]) == (len(ids), len(text), hashlib.sha256(ids.tobytes()).hexdigest())
+
+
+def test_pieces_in_blocks(spark, monkeypatch):
+    """Products of blocks of chunks, in tasks of their own, give the path that one scan gives."""
+    r = random.Random(6)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = ["".join(r.choice(["the", "ing ", "a", "\u00e9", "\u4e2d", "\n", "xyz", ". "]) for _ in range(n)) for n in (900, 1500, 40)]
+    monkeypatch.setattr(pieces, "BLOCK", 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["doc_id"]: x["ids"] for x in pieces.encode(docs, chunk=100).collect()} == {i: sp.encode(t) for i, t in enumerate(texts)}
+
+
+def test_token_query(spark, data, texts):
+    """The query's edits made plainly, and counted by the library."""
+    c = token_counts.Counter()
+    for r in token_counts.op6_token_counts(spark, data).collect():
+        t = texts[r["doc_id"]]
+        half = len(t) // 2
+        new = "Edited.\n" + t[:half] + "an edited passage, number 7" + t[half + 40 :]
+        assert (r["n_tokens"], r["edited_tokens"], r["n_chars"]) == (c.whole(t), c.whole(new), len(new))
+        assert r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and r["encoded_chars"] <= len(new) + 100
+
+
+def test_token_leaves_stay_small():
+    """After a very long insertion, an edit of one character encodes a few leaves and no more."""
+    c = token_counts.Counter()
+    text = "one two three " * 200
+    tree = token_counts.CountTree(*c.leaves(text))
+    text, _ = tree.edit(c, text, 1000, 1000, "some more words here " * 10_000)
+    text, n = tree.edit(c, text, 100_000, 100_001, "x")
+    assert n <= 8 * token_counts.LEAF and tree.total == c.whole(text) and tree.chars[1] == len(text)
+
+
 def test_token_edits(texts):
     c, r = token_counts.Counter(), random.Random(4)
     alphabet = ["a", " ", "\n", "  ", "\t", "it's", "é", "\u3000", "12", "!", "\x1c", "\u00a0"]
@@ -220,7 +452,9 @@ def test_pipeline_steps(spark, data, texts):
     two = P.lines(spark, one, data).cache()
     assert {r["doc_id"] for r in two.collect()} == kept
     three = P.near_copies(spark, two, data).cache()
-    comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(two).collect()}
+    mid = {r["doc_id"]: r["text"] for r in two.collect()}
+    fps = {i: simhash.fingerprint(t.encode()) & (1 << 64) - 1 for i, t in mid.items()}
+    comp = closure(list(fps), {i: [j for j in fps if (fps[i] ^ fps[j]).bit_count() <= 3] for i in fps})
     assert sorted(r["doc_id"] for r in three.collect()) == sorted(set(comp.values()))
     four = P.weights(spark, three, data).cache()
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(three).collect()}

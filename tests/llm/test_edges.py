@@ -156,11 +156,57 @@ def test_embeddings(spark):
     assert rows(embeddings.near_duplicates(x.limit(0))) == []
 
 
-def test_pipeline(spark, docs, none, data):
-    for start in (docs.select(*P.COLUMNS, "fp", "size"), none):
-        x = start
-        for k, (_, stage) in enumerate(P.STAGES):
-            x = stage(spark, x, data)
-            if k < len(P.STAGES) - 1:
-                assert sorted(x.columns) == sorted(P.COLUMNS)
-        assert x.count() >= 0
+def test_mixing_never_over_the_cap(spark):
+    """Documents without words in a source at its cap, and a source of such documents alone."""
+    data = [(1, "a b c", "s"), (2, "", "s"), (3, None, "s"), (4, " \n", "s"), (5, "", "t"), (6, "w " * 300, "u")]
+    for weights in ((3, 1, 2), (9, 1, 1)):
+        got = rows(mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), weights=weights))
+        assert len(got) == len(data) and all(0 <= r["copies"] <= 2 for r in got)
+
+
+def test_one_of_each(spark):
+    """Rows without id, rows of one id with other texts, equal rows, blank texts: one of each group, none else lost."""
+    a, b, c = ("the first text has these words " * 3, "wholly other words are in the second one " * 3, "a third text about something else again " * 3)
+    data = [(1, a, "x"), (1, b, "x"), (1, b, "x"), (2, a, "y"), (None, c, "x"), (None, c, "x"), (None, a, "x"), (3, None, "x"), (4, "", "x"), (None, " ", "x")]
+    got = rows(simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string, fp string")))
+    assert sorted(((r["doc_id"], r["text"], r["fp"]) for r in got), key=str) == sorted([(1, a, "x"), (1, b, "x"), (None, c, "x"), (3, None, "x")], key=str)
+    assert rows(simhash.one_of_each(spark.createDataFrame([], "doc_id long, text string"))) == []
+
+
+def test_tables_that_are_empty(spark):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    assert rows(pieces.decode(empty("doc_id long, ids array<int>"))) == []
+    trees = empty("doc_id long, text string, leaf_chars array<int>, leaf_tokens array<int>, edits array<struct<start int, stop int, new string>>")
+    assert rows(token_counts.apply_edits(trees)) == []
+    assert rows(line_dedup.dedup_lines(empty("doc_id long, text string"), broadcast_bits=0, broadcast_known=0)) == []
+
+
+def test_pipeline(spark, none, data):
+    """Exactly the rows that each stage must leave, from null, empty, blank, repeated and long texts."""
+    prose = ["The garden of the old house was full of the flowers that the children had planted.", "It is said that the river and the hills were there before any of the towns on the plain.", "She went to the market in the morning and came home with bread, cheese and the newspaper."]
+    line = "a line that many of the documents have in common"
+    texts = {1: f"{prose[0]} {prose[1]}\n{line}", 2: f"{prose[0]} {prose[1]}\n{line}", 3: f"{prose[2]} {prose[1]}\n{line}", 5: "", 6: " \n\t ", 8: "12345 !!! ???", 9: None}
+    made = [(i, t, "en", "s", None) for i, t in texts.items()]
+    made += [(None, prose[2], "en", "s", 3), (3, prose[0], "en", None, 1), (3, prose[0], "en", None, 1)]
+    start = spark.createDataFrame(made, SCHEMA).select(*P.COLUMNS, F.lit(1).alias("fp"), F.lit(2).alias("size"))
+    one = P.language(spark, start, data)
+    assert sorted(((r["doc_id"], r["text"]) for r in rows(one)), key=str) == sorted([(i, texts[i]) for i in (1, 2, 3)] + [(None, prose[2]), (3, prose[0]), (3, prose[0])], key=str)
+    two = P.lines(spark, one, data)
+    first = f"{prose[0]} {prose[1]}"
+    want = [(1, first), (2, first), (3, f"{prose[2]} {prose[1]}\n{line}"), (None, prose[2]), (3, prose[0]), (3, prose[0])]
+    assert sorted(((r["doc_id"], r["text"]) for r in rows(two)), key=str) == sorted(want, key=str)
+    assert all(r["n_chars"] == len(r["text"]) for r in rows(two))
+    three = P.near_copies(spark, two, data)
+    want = [(1, first), (3, f"{prose[2]} {prose[1]}\n{line}"), (None, prose[2]), (3, prose[0])]
+    assert sorted(((r["doc_id"], r["text"]) for r in rows(three)), key=str) == sorted(want, key=str)
+    four = rows(P.weights(spark, three, data))
+    assert {(r["doc_id"], r["text"]) for r in four} <= set(want) and all(four.count(r) <= 2 for r in four)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    five = rows(P.encoded(spark, three, data))
+    assert sorted(r["ids"] for r in five) == sorted(sp.encode(t) for _, t in want) and all(r["n_tokens"] == len(r["ids"]) for r in five)
+    x = none
+    for k, (_, stage) in enumerate(P.STAGES):
+        x = stage(spark, x, data)
+        assert rows(x) == [] and (k == len(P.STAGES) - 1 or sorted(x.columns) == sorted(P.COLUMNS))
