@@ -520,9 +520,10 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = 32_768, carry: tupl
         return small
     # one pass over each text, whatever its length; neighbours lend the characters beyond the borders
     pieces_of = big.select("row", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("parts"))
-    around = lambda x, k: F.struct(
-        k.alias("k"), F.coalesce(F.substring(F.get("parts", k - 1), -SPAN, SPAN), F.lit("")).alias("left"), F.coalesce(F.substring(F.get("parts", k + 1), 1, SPAN), F.lit("")).alias("right"), x.alias("text")
-    )
+    some = -(-SPAN // chunk)  # chunks that hold the characters lent
+    before = lambda k: F.array_join(F.slice("parts", F.greatest(k - some, F.lit(0)) + 1, F.least(k, F.lit(some))), "")
+    after = lambda k: F.array_join(F.slice("parts", k + 2, F.lit(some)), "")
+    around = lambda x, k: F.struct(k.alias("k"), F.substring(before(k), -SPAN, SPAN).alias("left"), F.substring(after(k), 1, SPAN).alias("right"), x.alias("text"))
     chunks = pieces_of.select("row", (F.size("parts") - 1).alias("last"), F.explode(F.transform("parts", around)).alias("c")).select("row", "c.k", "last", "c.left", "c.right", "c.text")
     chunks = cut(chunks.repartition("row", "k"))
     matrices = cut(chunks.mapInPandas(_matrices(model), "row string, k int, rows int, cols int, cells binary").withColumn("block", F.floor(F.col("k") / BLOCK).cast("int")))
