@@ -13,7 +13,7 @@ def test_equals_sql(spark, data, duck, name):
     same(Q[name](spark, data), duck, O[name])
 
 
-@pytest.mark.parametrize("name", ["rule_four", "text_vectors", "anonymize_titles", "explain_rows", "pca_embed"])
+@pytest.mark.parametrize("name", ["text_vectors", "anonymize_titles", "explain_rows", "regime_text"])
 def test_runs(spark, data, name):
     assert Q[name](spark, data).count() > 0
 

@@ -57,6 +57,61 @@ def test_bad_config(bad):
         R.check_config(bad)
 
 
+def test_config_resolves():
+    """Defaults, whole lists, the hash of what is resolved, and every fault named at once."""
+    a = R.check_config({"name": "x", "eval": {"bootstrap": 20}})
+    assert a["split"]["embargo_days"] == 14 and a["eval"] == {"baseline": None, "bootstrap": 20, "block_days": 5} and a["adopt"]["alpha"] == 0.05
+    assert R.check_config({"eval": {"bootstrap": 20}, "name": "x", "seed": 1})["hash"] == a["hash"] != R.check_config({"name": "x"})["hash"]
+    with pytest.raises(ValueError, match="x is no setting.*baseline z"):
+        R.check_config({"x": 1, "eval": {"baseline": "z"}})
+    with pytest.raises(ValueError, match="split.n_draws"):
+        R.check_config({"split": {"n_draws": "three"}})
+    with pytest.raises(ValueError, match="research"):
+        R.check_config({"data": {"research": ["moon"]}})
+    assert R.check_config({"analysis": {"anything": 1}})["analysis"] == {"anything": 1}
+
+
+def test_run_with_research_and_text(spark, market, tmp_path):
+    """Research columns and text groups reach the candidates."""
+    from foreopen.plans.text_queries import aliases
+
+    cfg = R.check_config({
+        "data": {"groups": ["core", "scale", "txt_count", "txt_text"], "research": ["reddit", "llm_anon"]},
+        "split": {"n_draws": 1, "n_seen": 4, "n_unseen": 5, "universe_size": 20, "embargo_days": 2, "folds": [{"name": "A", "start": "2024-01-18", "end": "2024-01-30"}]},
+        "candidates": [{"name": "m", "signal": {"type": "column", "features": ["mentions_abn"]}, "decision": "k"}, {"name": "t", "decision": "k", "regime": {"type": "textclf", "params": {"vectorizer": "count_uni", "min_df": 2}}}],
+    })
+    llm = spark.createDataFrame([("TAA", dt.date(2024, 1, 19), 1.0, 2.0, 3.0)], "symbol string, target date, sign double, severity double, unexpected double")
+    draws = R.E.universe_draws(market.daily, 1, 5, 4, 20, 1)
+    panel = R.universe_panels(market, draws, cfg["data"]["groups"], cfg["data"]["research"], aliases(market), llm={"llm_anon": llm})
+    assert {"mentions_abn", "llm_anon_sign", "titles_r1", "n_clu_r1"} <= set(panel.columns) and panel.where("mentions_abn is not null").count() > 0
+    out = R.run(market, cfg, aliases=aliases(market), llm={"llm_anon": llm})
+    assert {r["candidate"] for r in out["predictions"].select("candidate").distinct().collect()} == {"m", "t"}
+    with pytest.raises(ValueError, match="aliases"):
+        R.universe_panels(market, draws, ["txt_count"])
+
+
+def test_panel_is_kept(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for key in ({"a": 1}, {"a": 1}, {"a": 2}):
+        assert R.kept_panel(spark, str(tmp_path), key, make).count() == 3
+    assert len(made) == 2
+
+
+def test_missing_and_extra_predictions_show(market):
+    from foreopen.operators import experiments as E
+
+    got = R.predict(market, None)
+    days = R.X.grid(market.daily, market.calendar)
+    assert E.validate(got, days).count() == 0
+    assert {r["problem"] for r in E.validate(got.where("symbol <> 'TAA'"), days).collect()} == {"missing"}
+    assert {r["problem"] for r in E.validate(got, days.where("symbol <> 'TAA'")).collect()} == {"extra"}
+
+
 def test_splits(spark):
     days = [(s, dt.date(2024, 1, d)) for s in "ABCDEF" for d in range(1, 29)]
     p = spark.createDataFrame(days, "symbol string, target date")
