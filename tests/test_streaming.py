@@ -53,11 +53,11 @@ def _at(h, m=0):
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
-    """A row older than the watermark changes nothing; one within it counts."""
-    batches = [[(1, _at(10), 1, "view", 1.0)], [(2, _at(14), 1, "view", 1.0)], [(3, _at(10, 30), 1, "view", 1.0), (4, _at(13), 1, "view", 1.0), (5, _at(20), 1, "view", 1.0)], [(6, _at(23), 1, "view", 1.0)]]
+    """A row older than the watermark that the batch before knew changes nothing; one within it counts."""
+    batches = [[(1, _at(10), 1, "view", 1.0)], [(2, _at(14), 1, "view", 1.0)], [(7, _at(14, 30), 1, "view", 1.0)], [(3, _at(10, 30), 1, "view", 1.0), (4, _at(13), 1, "view", 1.0), (5, _at(20), 1, "view", 1.0)], [(6, _at(23), 1, "view", 1.0)]]
     stream = _files(spark, tmp_path, batches, SCHEMA)
     got = W.drain(W.hourly(stream), "late", "append", str(tmp_path / "c"))
-    assert {r["start"].hour: r["n"] for r in got.collect()} == {10: 1, 13: 1, 14: 1, 20: 1}
+    assert {r["start"].hour: r["n"] for r in got.collect()} == {10: 1, 13: 1, 14: 2, 20: 1}
 
 
 def test_sliding(spark, data, tmp_path):
