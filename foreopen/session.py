@@ -10,5 +10,5 @@ def session(name: str = "foreopen", master: str | None = None, **conf: str) -> S
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    base = {"spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.showConsoleProgress": "false"}
+    base = {"spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.showConsoleProgress": "false", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     return builder.config(map=base | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
