@@ -18,6 +18,13 @@ def test_runs(spark, data, name):
     assert Q[name](spark, data).count() > 0
 
 
+@pytest.mark.parametrize("name", ["parity_all", "parity_text"])
+def test_day_path_is_the_batch_path(spark, data, name):
+    """Every column of days made by themselves: no null and no value differs."""
+    got = Q[name](spark, data).collect()
+    assert len(got) > 20 and all(r["n"] > 0 and r["null_diff"] == 0 and r["beyond"] == 0 for r in got)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
