@@ -197,3 +197,12 @@ def regime_text(m):
     x = titled(m).cache()
     spec = D.Spec("text", "column", "k", "textclf", params={"vectorizer": "count_uni", "min_df": 2}, tune_share=0.4)
     return D.Pipeline(spec).fit(x).predict(x).select("symbol", "target", "label", "s", "pred")
+
+
+@query(None)
+def text_terms(m):
+    """The twenty terms that speak most for a big move and the twenty that speak most against it."""
+    from foreopen.plans.text_queries import titled
+
+    terms = D.BigMove({"min_df": 2}).fit(titled(m).cache()).terms()
+    return m.spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(terms)], "rank int, term string, coefficient double")

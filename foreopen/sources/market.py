@@ -202,6 +202,12 @@ def symbols_from(path: str | None, text: str | None = None) -> list[str]:
     return [x.strip() for x in raw.splitlines() if x.strip()]
 
 
+def names_from(path: str) -> dict[str, list[str]]:
+    """Companies' names by ticker from a JSON object; a single name may stand alone, keys that begin with ``_`` are remarks."""
+    with open(path, encoding="utf-8") as f:
+        return {k: [v] if isinstance(v, str) else list(v) for k, v in json.load(f).items() if not k.startswith("_")}
+
+
 def word_lists(spark: SparkSession, path: str) -> DataFrame:
     """``(word, kind)`` of a dictionary in CSV: a word is of a kind where its column is over 0; headers in any case."""
     got = spark.read.csv(path, header=True)

@@ -102,6 +102,11 @@ def test_panel_is_kept(spark, tmp_path):
     assert len(made) == 2
 
 
+def test_day_timings(market):
+    got = R.day_timings(market, [dt.date(2024, 1, 18)], {"price": ["core"], "events": ["core", "event"]})
+    assert [(n, d) for n, d, _ in got] == [("price", "2024-01-18"), ("events", "2024-01-18")] and all(x > 0 for *_, x in got)
+
+
 def test_missing_and_extra_predictions_show(market):
     from foreopen.operators import experiments as E
 
