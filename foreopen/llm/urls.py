@@ -89,11 +89,15 @@ def features(urls: DataFrame, known: DataFrame | None, words: dict[str, float] |
     return out.drop("_rates")
 
 
-def suffix_rates(labelled: DataFrame) -> DataFrame:
-    """``(suffix, rate)``: the smoothed share of blocked urls of each last label and last two labels of the host."""
+def suffix_rates(labelled: DataFrame, least: int = 5) -> DataFrame:
+    """``(suffix, rate)``: the smoothed share of blocked urls of each last label and last two labels of the host.
+
+    Suffixes of fewer than ``least`` labelled urls are left out: their rate would tell those urls' own labels.
+    """
     host = host_of(F.col("url"))
     each = labelled.select(F.explode(F.array_distinct(F.array(suffix(host, 1), suffix(host, 2)))).alias("suffix"), "label")
-    return each.groupBy("suffix").agg(((F.sum("label") + 5.0) / (F.count("*") + 10.0)).alias("rate"))
+    got = each.groupBy("suffix").agg(((F.sum("label") + 5.0) / (F.count("*") + 10.0)).alias("rate"), F.count("*").alias("n"))
+    return got.where(F.col("n") >= least).select("suffix", "rate")
 
 
 def word_rates(rows: list[tuple[str, int]], most: int, least: int = 5) -> dict[str, float]:

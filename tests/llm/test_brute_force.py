@@ -314,7 +314,7 @@ def test_urls(spark):
     for k, name in enumerate(urls.FEATURES):  # the classes overlap in every feature
         a, b = x[y == 1, k], x[y == 0, k]
         assert a.min() <= b.max() and b.min() <= a.max(), name
-        best = max(max(((x[:, k] > c) == y).mean(), ((x[:, k] <= c) == y).mean()) for c in np.unique(x[:, k])[:400])
+        best = max(max(((x[:, k] > c) == y).mean(), ((x[:, k] <= c) == y).mean()) for c in np.unique(np.quantile(x[:, k], np.linspace(0, 1, 200))))
         assert best < ((p > 0.5) == y).mean()
     plain = train[0][0]
     assert urls.host_of is not None and plain.startswith("http")
