@@ -225,6 +225,9 @@ class Vectorizer:
 
         out = self.counts.transform(df.withColumn("_terms", terms_of(self.kind, self.column))).drop("_terms")
         if self.weighted:
+            # the counts as a row of their own: a Python function over the terms' nested lambdas was at times left in the
+            # plan unevaluated ("Cannot evaluate expression"); over a column of the row below it never is
+            out = out.select(*[c for c in out.columns if c != "_n"], F.explode(F.array("_n")).alias("_n"))
             # MLlib has no logarithm of a sparse vector
             log = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
             out = ElementwiseProduct(inputCol="_l", outputCol="_w", scalingVec=Vectors.dense(self.idf)).transform(out.withColumn("_l", log("_n")))

@@ -72,6 +72,14 @@ def test_vectorizers(spark, titles, kind):
         assert {names[k]: w for k, w in got[i].items()} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("kind", [k for k, (weighted, _, _) in T.VECTORIZERS.items() if weighted])
+def test_weights_read_counts_of_the_row_below(spark, titles, kind):
+    """No Python function stands over the terms' own expressions, where Spark at times leaves it unevaluated."""
+    plan = T.Vectorizer(kind, min_df=2, max_df=1.0).fit(titles).transform(titles)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x for x in plan.splitlines() if "<lambda>(" in x]
+    assert lines and not any("lambdafunction" in x or "split(" in x or "regexp_extract_all(" in x for x in lines)
+
+
 def test_hashing(spark, titles):
     got = {r["i"]: r["features"] for r in T.Vectorizer("hashing").fit(titles).transform(titles).collect()}
     for i, t in enumerate(TITLES):
