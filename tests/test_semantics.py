@@ -34,6 +34,28 @@ def test_as_of_edges(spark):
     assert got[0] is None and got[1] == dt.date(2024, 1, 8) and got[4] is None
 
 
+def test_quantile_bins_of_ties(spark):
+    """Edges to the last digit those of the SQL, also between values a last digit apart; one value only is one bin."""
+    import duckdb
+
+    rng = np.random.default_rng(0)
+    levels = [i / 10 for i in range(11)]
+    con = duckdb.connect()
+    for n in (37, 58, 123):
+        base = rng.integers(0, 20000, 12) / 100
+        values = [float((b - 45) / 15 + m / 25 - (m - 3) / 25) for b in base for m in rng.integers(0, 50, n)]
+        want = con.execute(f"select list_sort(list_distinct(quantile_cont(s, {levels}))) from (select unnest(?::double[]) as s)", [values]).fetchone()[0]
+        x = frame(spark, [(v,) for v in values] + [(None,)], "s double")
+        assert E.quantiles(x, "s", levels).first()["_e"] == want
+        got = {r["bin"]: r["count"] for r in E.quarter(x, "s", 10).groupBy("bin").count().collect()}
+        inner = want[1:-1]
+        bins = [sum(v > e for e in inner) for v in values]
+        assert got == {None: 1} | {b: bins.count(b) for b in set(bins)}
+    same = frame(spark, [(2.5, 1), (2.5, 0)], "s double, y int")
+    assert [(r["bin"], r["n"], r["y"]) for r in E.binned(same, "s", "y").collect()] == [(0, 2, 0.5)]
+    assert E.binned(same.where("false"), "s", "y").collect() == []
+
+
 def test_loo_median(spark):
     rows = [("d", s, v) for s, v in zip("abcdef", [1.0, 5.0, None, 2.0, 2.0, 9.0], strict=True)]
     got = {r["s"]: r["m"] for r in S.loo_median(frame(spark, rows, "d string, s string, x double"), "m", F.col("x"), "d", order="s").collect()}
