@@ -18,6 +18,17 @@ def test_runs(spark, data, name):
     assert Q[name](spark, data).count() > 0
 
 
+def test_text_vectors_count_the_terms(spark):
+    """Rows, terms and lengths of every vectorizer, where the plan once failed; terms as the SQL of vector_terms has them."""
+    data = "/root/testdata/sf0.01"
+    got = Q["text_vectors"](spark, data).collect()
+    terms = {(r["doc_id"], r["kind"]): r["terms"] for r in Q["vector_terms"](spark, data).collect()}
+    kinds = {r["kind"] for r in got}
+    assert len(kinds) == 8 and len(got) == len({(r["doc_id"], r["kind"]) for r in got}) == 8 * spark.read.parquet(f"{data}/documents.parquet").count()
+    assert {(r["doc_id"], r["kind"]): r["terms"] for r in got if (r["doc_id"], r["kind"]) in terms} == terms
+    assert all(r["norm"] == pytest.approx(1.0 if r["terms"] else 0.0) for r in got if r["kind"] not in ("count_uni", "lm_vocab"))
+
+
 @pytest.mark.parametrize("name", ["parity_all", "parity_text"])
 def test_day_path_is_the_batch_path(spark, data, name):
     """Every column of days made by themselves: no null and no value differs."""
