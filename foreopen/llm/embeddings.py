@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ WINDOW = 192
 TILE = 512
 #: Cells of one batch are formed among so many rows.
 BATCH = 1024
+#: Lists of so few rows, those who ask included, are met many at once.
+SMALL = 64
 #: Angles this near to a limit are decided by comparing members.
 MARGIN = 1e-5
 EDGE = "u bigint, v bigint, gap double"
@@ -41,8 +45,30 @@ def angle(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1.0, 1.0))
 
 
-def pairs_of(a: tuple, b: tuple, k: int, least: float) -> pd.DataFrame:
-    """Edges from each row of a to its k nearest rows of b, at cosine ``least`` or more, no farther than worst.
+def by_length(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """A batch's rows by their vectors' length, and those at unit length in double precision as one matrix."""
+    size = pc.list_value_length(batch.column("vec")).to_numpy(zero_copy_only=False)
+    for dim in np.unique(size):
+        own = batch if (size == dim).all() else batch.filter(pa.array(size == dim))
+        x = own.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, int(dim))
+        yield own, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def edges_of(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Edges ``(u, v, gap)`` in pieces, as one batch."""
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["u", "v", "gap"])
+
+
+def foremost(row: np.ndarray, gap: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least gaps of each row."""
+    order = np.lexsort((gap, row))
+    row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+
+
+def pairs_of(a: tuple, b: tuple, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges ``(u, v, gap)`` from each row of a to its k nearest rows of b, at cosine ``least`` or more, no farther than worst.
 
     A side is (node, unit vectors, radius, worst). The gap of two cells is their centres' angle less both radii; an edge
     worse than all that both ends have already is left out.
@@ -54,11 +80,28 @@ def pairs_of(a: tuple, b: tuple, k: int, least: float) -> pd.DataFrame:
     gap = angle(s[i, j]) - radius[i] - r2[j]
     use = gap < np.maximum(worst[i], worst2[j])
     i, j, gap = i[use], j[use], gap[use]
-    order = np.lexsort((gap, i))
-    i, j, gap = i[order], j[order], gap[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i)
-    top = place < k
-    return pd.DataFrame({"u": node[i[top]], "v": other[j[top]], "gap": gap[top]})
+    top = foremost(i, gap, k)
+    return node[i[top]], other[j[top]], gap[top]
+
+
+def pairs_of_small(side: tuple, starts: np.ndarray, sizes: np.ndarray, listed: np.ndarray, own: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``pairs_of`` for many short lists at once: list g's rows follow starts[g], the first listed[g] of its sizes[g] are the list.
+
+    Those after meet the list; where ``own``, it meets itself too.
+    """
+    node, x, radius, worst = side
+    at = np.arange(sizes.max())
+    rows = np.minimum(starts[:, None] + at, (starts + sizes - 1)[:, None])
+    to = rows[:, : listed.max()]
+    s = x[rows] @ x[to].transpose(0, 2, 1)
+    asks = (at < sizes[:, None]) & (own[:, None] | (at >= listed[:, None]))
+    g, i, j = np.nonzero((s >= least) & asks[:, :, None] & (at[: to.shape[1]] < listed[:, None])[:, None, :] & (node[rows][:, :, None] != node[to][:, None, :]))
+    u, v = rows[g, i], to[g, j]
+    gap = angle(s[g, i, j]) - radius[u] - radius[v]
+    use = gap < np.maximum(worst[u], worst[v])
+    u, v, gap = u[use], v[use], gap[use]
+    top = foremost(u, gap, k)
+    return node[u[top]], node[v[top]], gap[top]
 
 
 def side_of(pdf: pd.DataFrame) -> tuple:
@@ -75,19 +118,21 @@ def usable() -> Column:
 def in_order(balls: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
     """Every row once a table, dealt and sorted by the sides of random hyperplanes it lies on and one more projection."""
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for dim, own in pdf.groupby(pdf["vec"].map(len)):
+        for batch in batches:
+            for own, x in by_length(batch):
+                dim = x.shape[1]
                 if dim not in planes:
                     planes[dim] = np.random.default_rng(seed).normal(size=(dim, tables, bits + 1))
-                side = np.einsum("nd,dtb->ntb", unit(own["vec"]), planes[dim])
+                side = (x @ planes[dim].reshape(dim, -1)).reshape(len(x), tables, bits + 1)
                 code = ((side[:, :, :bits] > 0) << np.arange(bits)).sum(2)
                 for t in range(tables):
-                    yield own.assign(t=t, code=code[:, t], place=side[:, t, bits])
+                    more = [pa.array(np.full(len(x), t, np.int32)), pa.array(code[:, t].astype(np.int64)), pa.array(side[:, t, bits])]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*own.schema.names, "t", "code", "place"])
 
     n = int(balls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = balls.select("node", "space", "weight", "vec", "radius").mapInPandas(keys, f"{BALL}, t int, code bigint, place double")
+    spread = balls.select("node", "space", "weight", "vec", "radius").mapInArrow(keys, f"{BALL}, t int, code bigint, place double")
     return spread.repartitionByRange(n, "space", "t", "code", "place").sortWithinPartitions("space", "t", "code", "place")
 
 
@@ -157,18 +202,30 @@ def cells(nodes: DataFrame, theta: float, bits: int, passes: int, seed: int) ->
 def first_graph(balls: DataFrame, tables: int, bits: int, k: int, least: float, seed: int) -> DataFrame:
     """Edges among cells that lie next to each other in random hyperplane orders."""
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for pdf in batches:
-            for at in range(0, len(pdf), WINDOW // 2):
-                part = pdf.iloc[at : at + WINDOW // 2]
-                both = part if held is None else pd.concat([held, part])
-                held = part
-                for _, own in both.groupby(["space", "t"], sort=False):
-                    side = side_of(own)
-                    yield pairs_of(side, side, k, least)
-
-    return in_order(balls, tables, bits, seed).mapInPandas(near, EDGE)
+        for batch in batches:
+            for own, x in by_length(batch):
+                node, radius, t, space = (own.column(c).to_numpy(zero_copy_only=False) for c in ("node", "radius", "t", "space"))
+                found = []
+                for at in range(0, len(node), WINDOW // 2):
+                    both, old = [c[at : at + WINDOW // 2] for c in (node, x, radius, t, space)], 0
+                    if held is not None and held[1].shape[1] == x.shape[1]:
+                        both, old = [np.concatenate(c) for c in zip(held, both, strict=True)], len(held[0])
+                    held = [c[-(WINDOW // 2) :] for c in both]
+                    far = np.full(len(both[0]), np.inf)
+                    side = lambda a, b, both=both, far=far: (both[0][a:b], both[1][a:b], both[2][a:b], far[a:b])
+                    ends = np.flatnonzero((both[3][1:] != both[3][:-1]) | (both[4][1:] != both[4][:-1])) + 1
+                    for a, b in zip([0, *ends], [*ends, len(far)], strict=True):
+                        # those held have met each other
+                        new = max(a, old)
+                        if new < b:
+                            found.append(pairs_of(side(new, b), side(a, b), k, least))
+                        if a < new < b:
+                            found.append(pairs_of(side(a, new), side(new, b), k, least))
+                yield from edges_of(found)
+
+    return in_order(balls, tables, bits, seed).select("node", "space", "vec", "radius", "t").mapInArrow(near, EDGE)
 
 
 def nearest(edges: DataFrame, wide: DataFrame | None, k: int) -> DataFrame:
@@ -195,40 +252,42 @@ def refine(graph: DataFrame, balls: DataFrame, wide: DataFrame | None, k: int, l
 
     among = asks is None
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, listed, held = None, None, []
-        for pdf in batches:
-            via, part, ask = (pdf[c].to_numpy() for c in ("via", "part", "asks"))
-            ends = np.flatnonzero((via[1:] != via[:-1]) | (part[1:] != part[:-1]) | (ask[1:] != ask[:-1])) + 1
-            for a, b in zip([0, *ends], [*ends, len(pdf)], strict=True):
-                own = pdf.iloc[a:b]
-                if not len(own):
-                    continue
-                here = (own["via"].iloc[0], own["part"].iloc[0])
-                if here != key:
-                    if held:
-                        yield from own_list(pd.concat(held))
-                    key, listed, held = here, None, []
-                if not own["asks"].iloc[0]:
-                    held.append(own)
-                    continue
-                if held:
-                    listed = pd.concat(held)
-                    yield from own_list(listed)
-                    held = []
-                if listed is not None:
-                    most = k if among else len(listed)
-                    y = side_of(listed)
-                    for at in range(0, len(own), TILE):
-                        yield pairs_of(side_of(own.iloc[at : at + TILE]), y, most, least)
-        if held:
-            yield from own_list(pd.concat(held))
-
-    def own_list(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if among and pdf["part"].iloc[0] == 0:
-            whole = side_of(pdf)
-            for at in range(0, len(pdf), TILE):
-                yield pairs_of(tuple(c[at : at + TILE] for c in whole), whole, k, least)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for own, x in by_length(batch):
+                rows = [own.column(c).to_numpy(zero_copy_only=False) for c in ("via", "part", "asks", "node", "radius", "worst")] + [x]
+                if x.shape[1] in held:
+                    rows = [np.concatenate(c) for c in zip(held[x.shape[1]], rows, strict=True)]
+                via, part = rows[:2]
+                whole = int(np.argmax((via == via[-1]) & (part == part[-1])))  # the last list may go on
+                held[x.shape[1]] = [c[whole:].copy() for c in rows]
+                yield from lists([c[:whole] for c in rows])
+        for rows in held.values():
+            yield from lists(rows)
+
+    def lists(rows: list) -> Iterator[pa.RecordBatch]:
+        via, part, asks, node, radius, worst, x = rows
+        if not len(via):
+            return
+        worst = worst.astype(float)
+        whole = (node, x, radius, np.where(np.isnan(worst), np.inf, worst))
+        starts = np.concatenate([[0], np.flatnonzero((via[1:] != via[:-1]) | (part[1:] != part[:-1])) + 1])
+        sizes = np.diff(np.append(starts, len(via)))
+        listed = np.add.reduceat(~asks.astype(bool), starts, dtype=np.int64)
+        own = (part[starts] == 0) if among else np.zeros(len(starts), bool)
+        used = (listed > 0) & (own | (sizes > listed))
+        small = np.flatnonzero(used & (sizes <= SMALL))
+        small, found = small[np.argsort(sizes[small], kind="stable")], []
+        for at in range(0, len(small), 4 * SMALL):
+            g = small[at : at + 4 * SMALL]
+            found.append(pairs_of_small(whole, starts[g], sizes[g], listed[g], own[g], k if among else SMALL, least))
+        yield from edges_of(found)
+        for g in np.flatnonzero(used & (sizes > SMALL)):
+            first, middle, end = starts[g], starts[g] + listed[g], starts[g] + sizes[g]
+            y = tuple(c[first:middle] for c in whole)
+            for at in range(first if own[g] else middle, end, TILE):
+                yield from edges_of([pairs_of(tuple(c[at : min(at + TILE, end)] for c in whole), y, k if among else len(y[0]), least)])
 
     known = balls.select("node", "vec", "radius").join(graph.where("worst is not null").select(F.col("u").alias("node"), "worst"), "node", "left")
     listed = graph.select(F.col("u").alias("via"), F.col("v").alias("node"))
@@ -239,7 +298,7 @@ def refine(graph: DataFrame, balls: DataFrame, wide: DataFrame | None, k: int, l
     listed = listed.join(parts, "via", "left" if among else "inner").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     rows = listed.select("via", "part", F.lit(False).alias("asks"), "node").union(back).join(known, "node")
     met = rows.select("via", "part", "asks", "node", "vec", "radius", "worst").repartition("via", "part").sortWithinPartitions("via", "part", "asks", "node")
-    return nearest(graph.select("u", "v", "gap").unionByName(met.mapInPandas(meet, EDGE)), wide, k)
+    return nearest(graph.select("u", "v", "gap").unionByName(met.mapInArrow(meet, EDGE)), wide, k)
 
 
 def enlarge(graph: DataFrame, balls: DataFrame, k: int, least: float, reach: float, rounds: int = 8) -> DataFrame:

@@ -464,3 +464,22 @@ def test_pipeline_steps(spark, data, texts):
     text = {r["doc_id"]: r["text"] for r in four.collect()}
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     assert len(five) == four.count() and all(r["ids"] == sp.encode(text[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) for r in five)
+
+
+def test_short_lists_are_met_together():
+    """Many short lists at once give the edges that each gives by itself, whatever their sizes and who asks."""
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 2, 9, 30, 5, 14])
+    listed = np.array([1, 1, 4, 13, 5, 3])
+    own = np.array([True, False, True, False, True, True])
+    n = int(sizes.sum())
+    x = rng.normal(size=(n, 3))
+    side = (rng.integers(0, 40, n), x / np.linalg.norm(x, axis=1, keepdims=True), rng.random(n) / 10, np.where(rng.random(n) < 0.5, 0.4, np.inf))
+    starts = np.cumsum(sizes) - sizes
+    want = []
+    for a, size, m, self_too in zip(starts, sizes, listed, own, strict=True):
+        cut = lambda lo, hi: tuple(c[lo:hi] for c in side)
+        want += list(zip(*(c.tolist() for c in embeddings.pairs_of(cut(a if self_too else a + m, a + size), cut(a, a + m), 3, 0.3)), strict=True))
+    got = list(zip(*(c.tolist() for c in embeddings.pairs_of_small(side, starts, sizes, listed, own, 3, 0.3)), strict=True))
+    assert len(want) > 30 and [(u, v) for u, v, _ in sorted(got)] == [(u, v) for u, v, _ in sorted(want)]
+    assert np.allclose([g for *_, g in sorted(got)], [g for *_, g in sorted(want)])
