@@ -41,13 +41,14 @@ def test_quantile_bins_of_ties(spark):
     rng = np.random.default_rng(0)
     levels = [i / 10 for i in range(11)]
     con = duckdb.connect()
-    for n in (37, 58, 123):
-        base = rng.integers(0, 20000, 12) / 100
-        values = [float((b - 45) / 15 + m / 25 - (m - 3) / 25) for b in base for m in rng.integers(0, 50, n)]
+    base = rng.integers(0, 20000, 12) / 100
+    noisy = [float((b - 45) / 15 + m / 25 - (m - 3) / 25) for b in base for m in rng.integers(0, 50, 58)]
+    x = 25 / 15
+    for values in (noisy, [x - 1.0, x, float(np.nextafter(x, 9)), *(x + i for i in range(1, 10))]):
         want = con.execute(f"select list_sort(list_distinct(quantile_cont(s, {levels}))) from (select unnest(?::double[]) as s)", [values]).fetchone()[0]
-        x = frame(spark, [(v,) for v in values] + [(None,)], "s double")
-        assert E.quantiles(x, "s", levels).first()["_e"] == want
-        got = {r["bin"]: r["count"] for r in E.quarter(x, "s", 10).groupBy("bin").count().collect()}
+        some = frame(spark, [(v,) for v in values] + [(None,)], "s double")
+        assert E.quantiles(some, "s", levels).first()["_e"] == want
+        got = {r["bin"]: r["count"] for r in E.quarter(some, "s", 10).groupBy("bin").count().collect()}
         inner = want[1:-1]
         bins = [sum(v > e for e in inner) for v in values]
         assert got == {None: 1} | {b: bins.count(b) for b in set(bins)}
