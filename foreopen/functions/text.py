@@ -190,10 +190,11 @@ class Vectorizer:
     count_uni: counts of words. tfidf_*: 1 + ln(count), times ln((1 + n) / (1 + df)) + 1, at length 1; of words, words and
     pairs (bi), characters within words (char), words but common ones (stop), words neither rare nor common (df).
     lm_vocab: counts of a given lexicon's words. hashing: hashed counts at length 1, nothing learnt.
-    A text that is null or has no known term is a vector of zeros. ``most`` bounds the vocabulary, the most frequent first.
+    A text that is null or has no known term is a vector of zeros. All terms between min_df and max_df are kept, unless ``most``
+    bounds the vocabulary (the most frequent first); the vocabulary is held by the driver and every executor.
     """
 
-    def __init__(self, kind: str, column: str = "title", min_df: int | None = None, max_df: float | None = None, features: int = 1 << 18, lexicon: list[str] | None = None, most: int = 1 << 18):
+    def __init__(self, kind: str, column: str = "title", min_df: int | None = None, max_df: float | None = None, features: int = 1 << 18, lexicon: list[str] | None = None, most: int | None = None):
         if kind not in VECTORIZERS:
             raise ValueError(f"vectorizer: {kind} is none of {', '.join(VECTORIZERS)}")
         if kind == "lm_vocab" and not lexicon:
@@ -214,7 +215,7 @@ class Vectorizer:
             self.counts = CountVectorizerModel.from_vocabulary(sorted({w.lower() for w in self.lexicon}), inputCol="_terms", outputCol="_n")
         else:
             at_most = float(self.max_df) if self.max_df != 1.0 else float(1 << 62)
-            self.counts = CountVectorizer(inputCol="_terms", outputCol="_n", minDF=float(self.min_df), maxDF=at_most, vocabSize=self.most).fit(rows)
+            self.counts = CountVectorizer(inputCol="_terms", outputCol="_n", minDF=float(self.min_df), maxDF=at_most, vocabSize=self.most or (1 << 31) - 1).fit(rows)
         if self.weighted:
             self.idf = (IDF(inputCol="_n", outputCol="_i").fit(self.counts.transform(rows)).idf.toArray() + 1.0).tolist()
         return self

@@ -80,6 +80,15 @@ def test_weights_read_counts_of_the_row_below(spark, titles, kind):
     assert lines and not any("lambdafunction" in x or "split(" in x or "regexp_extract_all(" in x for x in lines)
 
 
+def test_no_term_is_cut(spark):
+    """A vocabulary of over 2^18 terms is kept whole, as SQL has it, unless bounded."""
+    rows = spark.range(0, 300_000, 100, 4).select(F.array_join(F.sequence("id", F.col("id") + 99), " ").alias("title"))
+    v = T.Vectorizer("count_uni", min_df=1).fit(rows)
+    n = F.udf(lambda x: int(x.numNonzeros()), "int")
+    assert len(v.counts.vocabulary) == 300_000 and {r[0] for r in v.transform(rows).select(n("features")).collect()} == {100}
+    assert len(T.Vectorizer("count_uni", min_df=1, most=50).fit(rows).counts.vocabulary) == 50
+
+
 def test_hashing(spark, titles):
     got = {r["i"]: r["features"] for r in T.Vectorizer("hashing").fit(titles).transform(titles).collect()}
     for i, t in enumerate(TITLES):
